@@ -7,60 +7,52 @@ from pyspark.sql import functions as F
 
 from graphloom.session import Scratch
 
-LEVELS = 5  # levels of one projection; deeper nodes go on in the next
+LEVELS = 4  # levels of one projection; deeper nodes go on in the next
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _objects(value: Column) -> Column:
-    """array<variant> of what a variant holds: the elements of an array, or the value itself; text is read as JSON."""
-
-    def listed(v: Column) -> Column:
-        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
-
-    def read(v: Column) -> Column:
-        obj = F.try_variant_get(v, "$", "map<string,variant>")
-        arr = F.try_variant_get(v, "$", "array<variant>")
-        text = F.when(obj.isNull() & arr.isNull(), F.try_parse_json(F.try_variant_get(v, "$", "string")))
-        return listed(F.coalesce(text, v))
-
-    return F.when(value.isNotNull(), _let(value, read))
+def _fields_of(text: Column, schema: str) -> Column:
+    """array<struct> of the fields, as text, of the objects that `text` lists; other elements are NULL.
 
+    The plain case takes one parse. Elements that are neither object nor NULL spoil it, and then
+    each element is read by itself.
+    """
+    slow = F.transform(
+        F.from_json(text, "array<string>"),
+        lambda e: F.when(F.ltrim(e).startswith("{"), F.element_at(F.from_json(F.concat(F.lit("["), e, F.lit("]")), f"array<struct<{schema}>>"), 1)),
+    )
+    return F.coalesce(F.from_json(text, f"array<struct<{schema}>>"), slow)
 
-def _as_object(value: Column) -> Column:
-    """The variant if it is an object, or the object that its text holds; else NULL."""
 
-    def read(v: Column) -> Column:
-        is_obj = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-        text = F.try_parse_json(F.try_variant_get(v, "$", "string"))
-        return F.when(is_obj, v).otherwise(_let(text, lambda t: F.when(F.try_variant_get(t, "$", "map<string,variant>").isNotNull(), t)))
+def _children(nodes: Column, fields: dict[str, str], single: set[str], schema: str) -> Column:
+    """The objects one level below an array of nodes, with the path of their parent attached."""
 
-    return F.when(value.isNotNull(), _let(value, read))
+    def below(n: Column) -> Column:
+        held = F.array(*[
+            F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.lit(f in single).alias("single"), F.ltrim(n["j"][f]).alias("text"))
+            for f, k in fields.items()
+        ])
 
+        def objects(h: Column) -> Column:
+            listed = F.when(h["text"].startswith("{"), F.concat(F.lit("["), h["text"], F.lit("]"))).otherwise(h["text"])
 
-def _children(nodes: Column, fields: dict[str, str], single: set[str]) -> Column:
-    """The objects one level below an array of nodes, with the keys of their ancestor attached."""
+            def child(j: Column, i: Column) -> Column:
+                at = F.when(h["single"], F.lit("")).otherwise(F.concat(F.lit("["), i.cast("string"), F.lit("]")))
+                path = F.concat(n["path"], F.lit("."), h["field"], at)
+                return F.struct(path.alias("path"), n["path"].alias("parent"), h["kind"].alias("kind"), j.alias("j"))
 
-    def of_field(n: Column, field: str, kind: str) -> Column:
-        def child(e: Column, i: Column) -> Column:
-            path = F.concat(n["path"], F.lit(f".{field}")) if field in single else F.concat(n["path"], F.lit(f".{field}["), i.cast("string"), F.lit("]"))
-            return F.struct(path.alias("path"), n["path"].alias("parent"), F.lit(kind).alias("kind"), _as_object(e).alias("v"))
+            return F.transform(_fields_of(listed, schema), child)
 
-        items = _objects(F.variant_get(n["v"], f"$.{field}", "variant"))
-        return F.coalesce(F.transform(items, child), F.array().cast("array<struct<path:string,parent:string,kind:string,v:variant>>"))
+        asked = F.filter(held, lambda h: (h["text"].startswith("[") | h["text"].startswith("{")) & (h["text"] != "[]"))
+        return F.flatten(F.filter(F.transform(asked, objects), lambda a: a.isNotNull()))
 
-    found = F.flatten(F.transform(nodes, lambda n: F.flatten(F.array(*[of_field(n, f, k) for f, k in fields.items()]))))
-    return F.filter(found, lambda c: c["v"].isNotNull())
+    return F.filter(F.flatten(F.transform(nodes, below)), lambda c: c["j"].isNotNull())
 
 
 class FlatTables:
-    """The nodes of all records; `table` gives one flat table, `nodes` the links of all kinds."""
+    """The nodes of all records; `table` gives one flat table, or the links of all kinds."""
 
-    def __init__(self, blocks: list[DataFrame], attributes: dict[str, tuple[str, str]]):
-        self._blocks, self._attributes = blocks, attributes
+    def __init__(self, blocks: list[DataFrame]):
+        self._blocks = blocks
 
     def table(self, kind: str | None = None) -> DataFrame:
         """(record_id, node_path, parent_path, kind, attributes...) of one kind, or of all."""
@@ -73,9 +65,6 @@ class FlatTables:
             out = out.unionByName(p)
         return out.withColumnsRenamed({"path": "node_path", "parent": "parent_path"})
 
-    def nodes(self) -> DataFrame:
-        return self.table()
-
 
 def flatten_records(
     records: DataFrame,
@@ -89,39 +78,40 @@ def flatten_records(
     records: record_id, version, body (JSON text). Of a record delivered several times the row with
     the greatest version counts, of equal versions the greatest body; NULL versions are the oldest.
     Bodies that are not a JSON object (NULL, empty, cut off, arrays) give no row; a NULL record_id is
-    a record of its own. fields: field -> kind of the objects in it; single: fields that hold one object, whose
-    path has no index. Text that holds JSON stands for what it holds; NULL elements keep their index.
-    attributes: column -> (JSON path, Spark type) of every node; values of another type are NULL.
-
-    Method: the body is parsed once into a variant. Nested transform calls attach the ancestor's path
-    and the index to every child, flatten joins the arrays of a level, and one inline per target table
-    emits rows. One projection covers LEVELS levels; records that go deeper, few as a rule, carry their open nodes
-    into the same projection again, so the depth is not bounded. No step but the choice of the
-    newest delivery shuffles.
+    a record of its own. fields: field -> kind of the objects in it; single: fields that hold one
+    object, whose path has no index. Text that holds JSON stands for what it holds; NULL elements
+    keep their index. attributes: column -> (field, Spark type) of every node; values that cannot
+    be cast are NULL.
+
+    Method: nested transform calls parse the fields of a level as text, attach the ancestor's path
+    and the index to every child, flatten joins the arrays of a level, and one inline per target
+    table emits rows. One projection covers LEVELS levels; records that go deeper, few as a rule,
+    carry their open nodes into the same projection again, so the depth is not bounded. No step
+    but the choice of the newest delivery shuffles.
     """
     attributes = attributes or {}
     scratch = Scratch(records.sparkSession)
     newest = records.groupBy("record_id").agg(F.max(F.struct("version", "body")).alias("b")).select("record_id", F.col("b.body").alias("body"))
-    root = _as_object(F.try_parse_json("body"))
-    frontier = newest.select("record_id", root.alias("v")).where("v is not null").select(
-        "record_id",
-        F.array(F.struct(F.lit("$").alias("path"), F.lit("").alias("parent"), F.lit(root_kind).alias("kind"), F.col("v"))).alias("l0"),
-    )
-    blocks, first = [], True
+    names = list(dict.fromkeys([*fields, *(f for f, _ in attributes.values())]))
+    schema = ",".join(f"`{n}`:string" for n in names)
+    # As the only element of an array a body in quotes loses them, and one cut off or followed by more is no JSON.
+    j = _fields_of(F.concat(F.lit("["), F.col("body"), F.lit("]")), schema)
+    root = F.array(F.struct(F.lit("$").alias("path"), F.lit("").alias("parent"), F.lit(root_kind).alias("kind"), "j"))
+    frontier = newest.select("record_id", j.alias("a")).where("size(a) = 1").select("record_id", F.element_at("a", 1).alias("j")).where("j is not null").select("record_id", root.alias("open"))
+
+    def bare(n: Column) -> Column:
+        own = [n["j"][f].try_cast(kind).alias(a) for a, (f, kind) in attributes.items()]
+        return F.struct(n["path"].alias("path"), n["parent"].alias("parent"), n["kind"].alias("kind"), *own)
+
+    blocks = []
     while True:
-        df = frontier
+        df = frontier.withColumnRenamed("open", "p0")
         for k in range(LEVELS):
-            df = df.withColumn(f"l{k + 1}", _children(F.col(f"l{k}"), fields, set(single)))
-
-        def bare(n: Column) -> Column:
-            attrs = [F.try_variant_get(n["v"], path, kind).alias(a) for a, (path, kind) in attributes.items()]
-            return F.struct(n["path"].alias("path"), n["parent"].alias("parent"), n["kind"].alias("kind"), *attrs)
-
-        levels = [f"l{k}" for k in range(0 if first else 1, LEVELS + 1)]
-        nodes = F.transform(F.flatten(F.array(*levels)), bare)
-        block = scratch.keep(df.select("record_id", nodes.alias("nodes"), F.when(F.size(f"l{LEVELS}") > 0, F.col(f"l{LEVELS}")).alias("rest")))
+            df = df.withColumn(f"p{k + 1}", _children(F.col(f"p{k}"), fields, set(single), schema))
+        nodes = F.flatten(F.array(*[F.transform(f"p{k}", bare) for k in range(LEVELS)]))
+        rest = F.col(f"p{LEVELS}")
+        block = scratch.keep(df.select("record_id", nodes.alias("nodes"), F.when(F.size(rest) > 0, rest).alias("open")))
         blocks.append(block.select("record_id", "nodes"))
-        frontier = block.where("rest is not null").select("record_id", F.col("rest").alias("l0"))
-        first = False
+        frontier = block.where("open is not null").select("record_id", "open")
         if not frontier.limit(1).count():
-            return FlatTables(blocks, attributes)
+            return FlatTables(blocks)

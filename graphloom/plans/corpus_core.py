@@ -78,7 +78,7 @@ def _bodies(spark: SparkSession, d: str, attributes: dict | None = None) -> Flat
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every object nested in a class body, with its path and its parent's."""
-    return _bodies(spark, d).nodes().select("record_id", "node_path", "parent_path", "kind")
+    return _bodies(spark, d).table().select("record_id", "node_path", "parent_path", "kind")
 
 
 def _kind_query(kind: str, attributes: dict):
@@ -89,11 +89,11 @@ def _kind_query(kind: str, attributes: dict):
     return query
 
 
-_NAME, _TYPE, _VISIBLE = {"name": ("$.name", "string")}, {"type": ("$.type", "string")}, {"visibility": ("$.visibility", "string")}
-p4_classes = _kind_query("class", _NAME | {"class_kind": ("$.kind", "string"), "super_class": ("$.superClass", "string")} | _VISIBLE)
-p4_functions = _kind_query("function", _NAME | {"return_type": ("$.returnType", "string")} | _VISIBLE)
-p4_properties = _kind_query("property", _NAME | _TYPE | {"is_val": ("$.isVal", "boolean"), "initializer": ("$.initializer", "string")})
-p4_parameters = _kind_query("parameter", _NAME | _TYPE | {"default_value": ("$.defaultValue", "string")})
+_NAME, _TYPE, _VISIBLE = {"name": ("name", "string")}, {"type": ("type", "string")}, {"visibility": ("visibility", "string")}
+p4_classes = _kind_query("class", _NAME | {"class_kind": ("kind", "string"), "super_class": ("superClass", "string")} | _VISIBLE)
+p4_functions = _kind_query("function", _NAME | {"return_type": ("returnType", "string")} | _VISIBLE)
+p4_properties = _kind_query("property", _NAME | _TYPE | {"is_val": ("isVal", "boolean"), "initializer": ("initializer", "string")})
+p4_parameters = _kind_query("parameter", _NAME | _TYPE | {"default_value": ("defaultValue", "string")})
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
