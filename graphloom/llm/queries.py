@@ -6,15 +6,53 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.generated import classify_files
 from graphloom.llm.leakage import leaked_passages
 from graphloom.llm.mixing import mix_sources
+from graphloom.llm.secrets import find_secrets, redact_secrets, secret_rows
 from graphloom.llm.shared_spans import later_spans, shared_parts, shared_spans
+from graphloom.llm.syntax import fault_rates, parse_faults
 from graphloom.session import table
 
 #: Vocabulary of the token counts; the files are described in the README of that folder.
 VOCABULARY = os.environ.get("GRAPHLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Source files that were not written by hand in their project."""
+    return p1_files(spark, d).where("not hand_written").select("doc_id").distinct()
+
+
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every source file with what speaks against handwork, and its family."""
+    return classify_files(table(spark, d, "documents"), table(spark, d, "file_filter_options"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Properties and documents that hold a usable secret."""
+    return find_secrets(secret_rows(table(spark, d, "parsed_properties"), table(spark, d, "documents"))).select("src_table", "row_id").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Their texts with the secrets redacted."""
+    return redact_secrets(secret_rows(table(spark, d, "parsed_properties"), table(spark, d, "documents")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Source files that are not valid in the language of their file name."""
+    return parse_faults(table(spark, d, "documents")).where("fault is not null").select("doc_id").distinct()
+
+
+def p6_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Every source file with its fault, if any."""
+    return parse_faults(table(spark, d, "documents"))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid files by project and language, and how many of them were reported."""
+    return fault_rates(table(spark, d, "documents"), table(spark, d, "parse_errors"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with at least 15 consecutive words of an evaluation item."""
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -45,5 +83,5 @@ def p10_later_spans(spark: SparkSession, d: str) -> DataFrame:
     return later_spans(table(spark, d, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p8_found, p9_selection, p9_report, p10_found, p10_shared_parts, p10_later_spans)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_files, p5_found, p5_redacted, p6_found, p6_faults, p6_rates, p8_found, p9_selection, p9_report, p10_found, p10_shared_parts, p10_later_spans)}
 ORACLE_SQL: dict[str, str] = {}
