@@ -129,3 +129,40 @@ QUERIES = {
         "p4_parameters": p4_parameters, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants,
     }.items()
 }
+
+
+# ---- SQL ----
+
+_BLANKS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+_REF = lambda c: rf"nullif(trim(regexp_replace(trim(split_part({c}, '<', 1), {_BLANKS}), '\?$', ''), {_BLANKS}), '')"
+_NM = lambda c: rf"regexp_replace(regexp_replace(trim({c}, {_BLANKS}), '^`(.*)`$', '\1'), '\(\)$', '')"
+_KINDS = "('class','interface','object','enum','annotation')"
+_ORPHANS = f"""WITH r AS (SELECT 'symbols' AS src_table, symbol_id AS row_id, 'super_class' AS ref_field, {_REF('super_class')} AS key, indexed_at AS seen FROM symbols
+ UNION ALL SELECT 'symbols', symbol_id, 'declaring_type_fqn', {_REF('declaring_type_fqn')}, indexed_at FROM symbols
+ UNION ALL SELECT 'classes', class_id, 'interfaces', {_REF('i')}, indexed_at FROM (SELECT class_id, indexed_at, unnest(interfaces) AS i FROM classes)),
+ o AS (SELECT DISTINCT * FROM r WHERE key IS NOT NULL AND key NOT IN (SELECT fqn FROM external_types WHERE fqn IS NOT NULL)
+  AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.kind IN {_KINDS} AND s.fqn = r.key AND s.indexed_at <= r.seen AND (s.removed_at IS NULL OR s.removed_at > r.seen)))"""
+_SIDES = f"""c AS (SELECT {_NM('caller_function_name')} AS caller, {_NM('callee_function_name')} AS callee, file_path FROM calls),
+ s AS (SELECT 'caller' AS side, caller AS function_name, callee AS other, file_path FROM c UNION ALL SELECT 'callee', callee, caller, file_path FROM c)"""
+
+
+def _tree_sql(tree: str, where: str, parent: str) -> str:
+    return f"""{tree}_n AS (SELECT fqn AS node, {_REF(parent)} AS parent FROM newest {where}),
+ {tree}_l AS (SELECT n.node, p.node AS parent FROM {tree}_n n LEFT JOIN {tree}_n p ON n.parent = p.node),
+ {tree}_w AS (SELECT node, node AS cur, 0 AS depth, [node] AS path FROM {tree}_l UNION ALL SELECT w.node, l.parent, w.depth + 1, list_append(w.path, l.parent)
+  FROM {tree}_w w JOIN {tree}_l l ON l.node = w.cur WHERE l.parent IS NOT NULL AND NOT list_contains(w.path[:-2], w.cur)),
+ {tree}_e AS (SELECT node, arg_max(cur, depth) AS cur, max(depth) AS depth, arg_max(path, depth) AS path FROM {tree}_w GROUP BY node),
+ {tree}_r AS (SELECT '{tree}' AS tree, node AS node_fqn, CASE WHEN list_contains(path[:-2], cur) THEN list_min(path[list_position(path, cur):]) ELSE cur END AS root_fqn,
+  CASE WHEN list_contains(path[:-2], cur) THEN -1 ELSE depth END AS depth FROM {tree}_e)"""
+
+
+_TREES = f"""WITH RECURSIVE newest AS (SELECT fqn, kind, parent_fqn, super_class FROM symbols WHERE fqn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fqn ORDER BY ins_seq DESC) = 1),
+ {_tree_sql('nesting', '', 'parent_fqn')}, {_tree_sql('inheritance', 'WHERE kind IN ' + _KINDS, 'super_class')}"""
+
+ORACLE_SQL = {
+    "p2_found": f"{_ORPHANS} SELECT DISTINCT src_table, row_id, ref_field, key AS target_fqn FROM o",
+    "p2_by_month": f"{_ORPHANS} SELECT src_table, ref_field, strftime(seen, '%Y-%m') AS month, count(*) AS n_orphans, count(DISTINCT key) AS n_targets FROM o GROUP BY ALL",
+    "p3_found": f"WITH {_SIDES} SELECT side, function_name FROM s WHERE function_name IS NOT NULL GROUP BY ALL HAVING count(*) >= 0.01 * (SELECT count(*) FROM calls)",
+    "p3_key_counts": f"WITH {_SIDES} SELECT side, function_name, count(*) AS n_rows, count(DISTINCT other) AS n_counterparts, count(DISTINCT file_path) AS n_files FROM s WHERE function_name IS NOT NULL GROUP BY ALL",
+    "p7_found": f"{_TREES} SELECT * FROM nesting_r UNION ALL SELECT * FROM inheritance_r",
+}

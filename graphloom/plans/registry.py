@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import corpus_core
+from graphloom.plans import corpus_core, graph_queries
 
-MODULES = [corpus_core]
+MODULES = [corpus_core, graph_queries]
 
 
 def queries() -> dict:
