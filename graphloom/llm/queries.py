@@ -84,4 +84,17 @@ def p10_later_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_files, p5_found, p5_redacted, p6_found, p6_faults, p6_rates, p8_found, p9_selection, p9_report, p10_found, p10_shared_parts, p10_later_spans)}
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def _runs(key: str, source: str) -> str:
+    words = f"SELECT {key}, {_WORDS} AS w FROM {source} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 14], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 13)) AS i FROM ({words}))"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "p8_found": f"SELECT DISTINCT d.doc_id, e.item_id FROM ({_runs('doc_id', 'documents')}) d JOIN ({_runs('item_id', 'eval_items')}) e ON d.run = e.run",
+    "p10_found": """WITH h AS (SELECT DISTINCT doc_id, md5(substr(text, i, 400)) AS part FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400))
+ SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM h a JOIN h b ON a.part = b.part AND a.doc_id < b.doc_id""",
+}
