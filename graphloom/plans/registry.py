@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import corpus_core, graph_queries
+from graphloom.plans import corpus_core, graph_queries, stream_queries
 
-MODULES = [corpus_core, graph_queries]
+MODULES = [corpus_core, graph_queries, stream_queries]
 
 
 def queries() -> dict:
