@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "graphloom", master: str | None = None) -> SparkSession:
@@ -74,3 +75,13 @@ class Scratch:
         path = getattr(df, "_scratch_path", None)
         if path:
             _delete(self.spark, path)
+
+
+#: A table of keys up to this many rows is broadcast; beyond it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def keyed(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """rows joined with a written table of short keys: by broadcast if it was counted to be small, by shuffle if not."""
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if small else keys, on, how)

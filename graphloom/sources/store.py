@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class GraphStore:
@@ -23,17 +25,20 @@ class GraphStore:
         name = uuid.uuid4().hex[:12]
         nodes.repartition("label").sortWithinPartitions("name").write.partitionBy("label").parquet(f"{self.root}/{name}/nodes")
         edges.write.partitionBy("rel_type").parquet(f"{self.root}/{name}/edges")
-        self.spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/_CURRENT")
+        current = json.dumps([name, nodes.schema.json(), edges.schema.json()])
+        self.spark.range(1).select(F.lit(current).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/_CURRENT")
         return name
 
-    def _current(self) -> str:
-        return self.spark.read.text(f"{self.root}/_CURRENT").first()[0]
+    def _read(self, part: int) -> DataFrame:
+        current = json.loads(self.spark.read.text(f"{self.root}/_CURRENT").first()[0])
+        schema = StructType.fromJson(json.loads(current[part]))
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{current[0]}/{'nodes' if part == 1 else 'edges'}")
 
     def nodes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self._current()}/nodes")
+        return self._read(1)
 
     def edges(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self._current()}/edges")
+        return self._read(2)
 
     def clear(self, project: str | None = None) -> str:
         """Removes a project's nodes, by the prefix of their file path, and all edges that touch them; without project everything."""
