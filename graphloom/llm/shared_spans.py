@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.textops import code_points, selected, window_hashes
-from graphloom.session import Scratch
+from graphloom.session import Scratch, keyed
 
 #: Groups of more texts than this are not paired on a coarse digest but digested again more finely.
 COARSE_GROUP = 64
@@ -21,14 +21,14 @@ def _digests(span: int, length: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, digests = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = []
+            for text in batch.column(2).to_pylist():
                 h = window_hashes(code_points(text), length)
-                h = np.unique(h[selected(h, span - length + 1)])
-                keys.append(np.full(len(h), key, np.int64))
-                digests.append(h)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(digests).view(np.int64))], ["rep", "digest"])
+                found.append(np.unique(h[selected(h, span - length + 1)]))
+            row = pa.array(np.repeat(np.arange(len(found)), [len(h) for h in found]))
+            if len(row):
+                digests = pa.array(np.concatenate(found).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), digests], ["same", "same2", "digest"])
 
     return work
 
@@ -111,28 +111,32 @@ def shared_spans(documents: DataFrame, span: int = 400) -> SharedSpans:
     on all windows of `span` characters, which also gives the exact offsets.
     """
     scratch = Scratch(documents.sparkSession)
-    docs = documents.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= span)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = docs.select("doc_id", F.sha2("text", 256).alias("same"))
-    members = scratch.keep(members.join(members.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "same").select("doc_id", "rep", "n"))
-    reps = docs.join(members.where("doc_id = rep and n > 1").select("doc_id"), "doc_id", "left_semi")
-    texts = docs.join(members.where("n > 1").select("doc_id"), "doc_id", "left_anti").unionByName(reps).select(F.col("doc_id").alias("rep"), "text")
+    # Two hashes, 96 bits, name a text.
+    docs = documents.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= span)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("same"), F.hash("text").alias("same2")
+    )
+    named = scratch.keep(docs.select("doc_id", "same", "same2"))
+    classes = scratch.keep(named.groupBy("same", "same2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    members = named.join(classes, ["same", "same2"]).select("doc_id", "rep", "n")
 
-    def groups(of: DataFrame, length: int) -> DataFrame:
-        return of.mapInArrow(_digests(span, length), "rep long, digest long")
+    def digests(of: DataFrame, length: int) -> DataFrame:
+        """One row a digest and class: copies of a text add nothing. Partitioned by digest for all that follows."""
+        d = of.select("same", "same2", "text").mapInArrow(_digests(span, length), "same long, same2 int, digest long")
+        return d.repartition("digest").dropDuplicates(["digest", "same", "same2"])
 
-    coarse = scratch.keep(groups(texts, span // 2))
+    coarse = digests(docs, span // 2)
     sizes = coarse.groupBy("digest").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    common = scratch.keep(coarse.join(sizes, "digest").select("rep", "digest", "g"))
-    crowded = common.where(F.col("g") > COARSE_GROUP).select("rep").distinct()
-    fine = groups(texts.join(crowded, "rep", "left_semi"), span - span // 40)
+    common = scratch.keep(coarse.join(sizes, "digest"))
+    crowded = scratch.keep(common.where(F.col("g") > COARSE_GROUP).select("same", "same2").distinct())
+    fine = digests(keyed(docs, crowded, ["same", "same2"]), span - span // 40)
 
     def pairs(d: DataFrame) -> DataFrame:
-        return d.select("digest", F.col("rep").alias("rep_a")).join(d.select("digest", F.col("rep").alias("rep_b")), "digest").where("rep_a < rep_b").select("rep_a", "rep_b")
+        r = d.join(classes, ["same", "same2"]).select("digest", "rep")
+        return r.select("digest", F.col("rep").alias("rep_a")).join(r.select("digest", F.col("rep").alias("rep_b")), "digest").where("rep_a < rep_b").select("rep_a", "rep_b")
 
     candidates = scratch.keep(pairs(common.where(F.col("g") <= COARSE_GROUP)).unionByName(pairs(fine)).distinct())
-    scratch.drop(coarse)
-    asked = candidates.select(F.col("rep_a").alias("rep")).unionByName(candidates.select(F.col("rep_b").alias("rep"))).distinct()
-    held = scratch.keep(texts.join(asked, "rep", "left_semi"))
+    asked = scratch.keep(candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("doc_id")).distinct())
+    held = scratch.keep(keyed(docs.select("doc_id", "text"), asked, ["doc_id"]).withColumnRenamed("doc_id", "rep"))
     both = (
         candidates.join(held.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
         .join(held.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
