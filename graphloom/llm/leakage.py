@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.textops import WordIds, sliding_min, window_hashes, words_of
+from graphloom.session import Scratch, keyed
 
 SHINGLE = 5
 
@@ -74,7 +75,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, run: int = 15) -> Da
     its = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     doc_side = docs.mapInArrow(_signatures("doc_id", run), "doc_id long, h long")
     item_side = its.mapInArrow(_signatures("item_id", run), "item_id long, h long").distinct()
-    pairs = doc_side.join(item_side, "h").select("doc_id", "item_id").distinct()
+    pairs = Scratch(documents.sparkSession).keep(doc_side.join(item_side, "h").select("doc_id", "item_id").distinct())
+    texts = keyed(docs, pairs.select("doc_id").distinct(), ["doc_id"])
     passages = pairs.join(its.distinct(), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "text")).alias("c"))
-    candidates = docs.join(passages, "doc_id").select("doc_id", "text", F.col("c.item_id").alias("items"), F.col("c.text").alias("passages"))
+    candidates = texts.join(passages, "doc_id").select("doc_id", "text", F.col("c.item_id").alias("items"), F.col("c.text").alias("passages"))
     return candidates.mapInArrow(_verify(run), "doc_id long, item_id long").distinct()
