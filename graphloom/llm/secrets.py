@@ -18,7 +18,7 @@ from graphloom.llm.syntax import source_ending
 CHUNK, OVERLAP = 1 << 16, 1 << 13
 
 _SECRET_NAME = (
-    r"(?:(?<![A-Za-z])|(?<=[a-z_\d])(?=[A-Z])|(?<=[A-Z])(?<!COM)(?=[A-Z]{4,}))"
+    r"(?:(?<![A-Za-z])|(?<=[a-z_\d])(?=[A-Z])|(?<=[A-Z])(?<!COM)(?=[A-Z]{3,}))"
     r"(?i:passwords?|passwd|passphrase|pass|pwd|secrets?|tokens?|credentials?|(?:api|access|signing|encryption|hmac|licen[cs]e|private|secret|master|auth|shared|storage|account|session)[_-]?key)"
 )
 _IS = r"""["'`]?\]?(?:[ \t]*:[ \t]*[\w.<>?\[\] |]{1,60}=(?!=)|[ \t]*=(?!=)>?|[ \t]*:(?!:)|[ \t]+(?:to|is)(?=[ \t]))(?:[ \t]*[\r\n]+[ \t]*(?=["'`]))?[ \t]*"""
@@ -70,7 +70,12 @@ def usable(value: str) -> bool:
         return False
     if not re.search(r"[A-Za-z]", v):
         return False
-    return bool(re.search(r"\d", v)) or bool(re.search(r"[^\w.,:/-]", v) and re.search(r"[a-z]", v) and re.search(r"[A-Z]", v))
+    if re.search(r"\d", v):
+        return True
+    if not (re.search(r"[a-z]", v) and re.search(r"[A-Z]", v)):
+        return False
+    # Without a digit: a mark among the letters, or capitals where no word of a name has them.
+    return bool(re.search(r"[^\w.,:/-]", v)) or len(v) >= 8 and v.isalpha() and not re.fullmatch(r"[A-Za-z][a-z]{2,}(?:[A-Z][a-z]{2,})*", v)
 
 
 def _decoded(v: str) -> str:
@@ -104,7 +109,7 @@ def _literals(rhs: str, at: int, bare: bool) -> Iterator[tuple[str, list[tuple[i
         k += 1
     if bare and not rhs.lstrip().startswith(("\"", "'", "`")):
         m = _BARE.match(rhs)
-        if m and "(" not in m[0]:  # a call is code
+        if m and not re.search(r"[()]", m[0]):  # code, as in a call or a list of parameters
             yield m[0], [(at + m.start(), at + m.end())]
     elif bare:
         m = re.match(r"`([^`\n]+)`", rhs)

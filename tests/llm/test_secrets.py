@@ -32,8 +32,8 @@ def test_harmless(text):
 
 
 def test_configuration():
-    text = "# c\nCLIENTSECRET=53c0d8d4efcfdde5c3c4d0121ad3bd13\nADMINPWD=\nOTHER=value-1-2-3\napiKey: ${API_KEY_1}\nEXHIBITCOMPASS=a1b2c3d4\n"
-    assert {text[a:b] for a, b, _ in secrets_in(text, list(RULES), False)} == {"53c0d8d4efcfdde5c3c4d0121ad3bd13"}
+    text = "# c\nCLIENTSECRET=53c0d8d4efcfdde5c3c4d0121ad3bd13\nADMINPWD=\nOTHER=value-1-2-3\napiKey: ${API_KEY_1}\nEXHIBITCOMPASS=a1b2c3d4\nDBPWD=GKELNjTwU\nf(a: B, tokenToken: AtticGable): C\nlobbyToken=martenFinch\n"
+    assert {text[a:b] for a, b, _ in secrets_in(text, list(RULES), False)} == {"53c0d8d4efcfdde5c3c4d0121ad3bd13", "GKELNjTwU"}
 
 
 @pytest.mark.parametrize("name", sorted(RULES))
