@@ -174,7 +174,7 @@ def _check_adjacent(ts: list, language: str) -> None:
             raise Invalid("written in another language")
 
 
-def _check_script(ts: list, language: str, jsx: bool) -> None:
+def _check_script(ts: list, language: str) -> None:
     solid = [t for t in ts if t[0] != "nl"]
     _check_adjacent(ts, language)
     for k, (kind, tok, _) in enumerate(solid):
@@ -299,16 +299,16 @@ def fault(text: str | None, ending: str) -> str | None:
     try:
         ts = tokens(text, language)
         last = next((t for t in reversed(ts) if t[0] != "nl"), None)
-        if last and last[0] == "op" and last[1] not in _END_OK and not (language == "kotlin" and last[1] in ("*", "?")):
-            raise Invalid("premature end")
         if language == "java":
-            if last and last[1] not in (";", "}"):
-                raise Invalid("premature end")
             _check_java(ts)
         elif language == "kotlin":
             _check_kotlin(ts)
         else:
-            _check_script(ts, language, ending in ("tsx", "jsx"))
+            _check_script(ts, language)
+        if last and last[0] == "op" and last[1] not in _END_OK and not (language == "kotlin" and last[1] in ("*", "?")):
+            raise Invalid("premature end")
+        if language == "java" and last and last[1] not in (";", "}"):
+            raise Invalid("premature end")
     except Invalid as e:
         return str(e)
     return None
