@@ -53,9 +53,5 @@ def heavy_keys(rows: DataFrame, sides: dict[str, str], dims: dict[str, list[str]
     """(side, key, n): keys, NULL left out, with at least `share` of all rows of the table."""
     first = {side: d[:1] for side, d in dims.items()}
     states = key_states(rows, sides, first)
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return (
-        states.crossJoin(F.broadcast(total))  # one row
-        .where(F.col("key").isNotNull() & (F.col("n") >= F.lit(share) * F.col("total")))
-        .select("side", "key", "n")
-    )
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return states.where(F.col("key").isNotNull() & (F.col("n") >= F.lit(share) * total)).select("side", "key", "n")
