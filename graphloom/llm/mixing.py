@@ -96,9 +96,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str, seed:
     selection = sizes.join(F.broadcast(planned.select("source", "epochs")), "source").withColumn("repeats", repeats).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
     got = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("selected_tokens"))
     report = planned.join(got, "source", "left").withColumn("selected_tokens", F.coalesce("selected_tokens", F.lit(0)))
-    total = report.agg(F.sum("selected_tokens").alias("_total"))
-    report = report.crossJoin(F.broadcast(total)).select(  # one row
-        "source", "target_share", "available_tokens", "planned_tokens", "selected_tokens",
-        F.when(F.col("_total") > 0, F.col("selected_tokens") / F.col("_total")).otherwise(F.lit(0.0)).alias("actual_share"), "epochs",
-    )
+    total = got.agg(F.sum("selected_tokens")).scalar()
+    share = F.coalesce(F.try_divide(F.col("selected_tokens"), total), F.lit(0.0))
+    report = report.select("source", "target_share", "available_tokens", "planned_tokens", "selected_tokens", share.alias("actual_share"), "epochs")
     return selection, report
