@@ -39,15 +39,25 @@ def token_sizes(documents: DataFrame, vocabulary: str) -> DataFrame:
     return rows.mapInArrow(_token_counts(vocabulary), "doc_id long, source string, tokens long")
 
 
-def water_filling(sizes: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, float]:
+def exact_total(sizes: dict[str, int], targets: dict[str, tuple[float, int]]) -> float:
+    """The largest total at which every source that holds tokens meets its share within its repetitions.
+
+    Shares of sources that are absent go to the others in proportion.
+    """
+    held = {s: (w, sizes[s] * max(0, r)) for s, (w, r) in targets.items() if w > 0 and sizes.get(s, 0) * max(0, r) > 0}
+    weight = sum(w for w, _ in held.values())
+    return min((cap * weight / w for w, cap in held.values()), default=0.0)
+
+
+def water_filling(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
     """Tokens to take from each source: the largest mixture in target proportions, with repeats capped.
 
-    sizes: tokens a source holds; targets: source -> (share, most repetitions). The total aimed
-    at is the sum of all tokens of the target sources. A source whose share asks for more than it
+    sizes: tokens a source holds; targets: source -> (share, most repetitions); total: tokens
+    aimed at, by default the sum of all tokens of the target sources. A source whose share asks for more than it
     may give (size * repeats) is clamped there and what it lacks goes to the others in proportion to
     their shares, until no source asks for too much or all are clamped.
     """
-    total = float(sum(sizes.get(s, 0) for s in targets))
+    total = float(sum(sizes.get(s, 0) for s in targets)) if total is None else float(total)
     cap = {s: float(sizes.get(s, 0) * max(0, r)) for s, (_, r) in targets.items()}
     take: dict[str, float] = {s: 0.0 for s, (w, _) in targets.items() if w <= 0}
     open_ = {s: w for s, (w, _) in targets.items() if w > 0}
@@ -65,7 +75,7 @@ def water_filling(sizes: dict[str, int], targets: dict[str, tuple[float, int]])
     return take
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 42, total: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of a mixture that meets target shares of tokens.
 
     documents: doc_id, source, text; targets: source, target_share, max_repeats, one row a source
@@ -73,6 +83,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str, seed:
     not selected have no row). report: source, target_share, available_tokens, planned_tokens,
     selected_tokens, actual_share, epochs, one row a target source, also absent ones. Sources
     without target, NULL among them, are not selected; NULL shares and repeats count as 0.
+    total: tokens aimed at; None: as many as the target sources hold, so that small sources reach
+    their most repetitions and miss their share; "exact": the most at which none does (`exact_total`).
 
     Method: capped water-filling on the tokens per source, a table as small as the targets. Each
     source then gives floor(epochs) whole repetitions and a seeded fraction of one more: a
@@ -88,7 +100,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str, seed:
     have = wanted.join(sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left").limit(MAX_SOURCES + 1).collect()
     if len(have) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
-    plan = water_filling({r.source: r.tokens or 0 for r in have}, {r.source: (r.target_share, r.max_repeats) for r in have})
+    tokens, aims = {r.source: r.tokens or 0 for r in have}, {r.source: (r.target_share, r.max_repeats) for r in have}
+    plan = water_filling(tokens, aims, exact_total(tokens, aims) if total == "exact" else total)
     rows = [(r.source, float(r.target_share), int(r.tokens or 0), float(plan[r.source]), plan[r.source] / r.tokens if r.tokens else 0.0) for r in have]
     planned = spark.createDataFrame(rows, "source string, target_share double, available_tokens long, planned_tokens double, epochs double")
     chance = F.pmod(F.xxhash64(F.lit(seed), F.lit("mix"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)

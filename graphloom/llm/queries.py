@@ -68,6 +68,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), VOCABULARY)[1]
 
 
+def p9_exact_report(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the largest mixture in which every source there is meets its share."""
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), VOCABULARY, total="exact")[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with an identical span of 400 or more characters."""
     return shared_spans(table(spark, d, "documents")).document_pairs()
@@ -83,7 +88,7 @@ def p10_later_spans(spark: SparkSession, d: str) -> DataFrame:
     return later_spans(table(spark, d, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_files, p5_found, p5_redacted, p6_found, p6_faults, p6_rates, p8_found, p9_selection, p9_report, p10_found, p10_shared_parts, p10_later_spans)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_files, p5_found, p5_redacted, p6_found, p6_faults, p6_rates, p8_found, p9_selection, p9_report, p9_exact_report, p10_found, p10_shared_parts, p10_later_spans)}
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 

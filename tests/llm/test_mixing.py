@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from conftest import rows
 
-from graphloom.llm.mixing import mix_sources, water_filling
+from graphloom.llm.mixing import exact_total, mix_sources, water_filling
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -16,6 +16,13 @@ def test_water_filling():
     assert water_filling({}, {}) == {} and water_filling({"a": 5}, {"a": (0.0, 1)}) == {"a": 0}
 
 
+def test_exact_total():
+    sizes, targets = {"a": 900, "b": 50}, {"a": (0.4, 1), "b": (0.4, 2), "gone": (0.2, 4)}
+    assert exact_total(sizes, targets) == pytest.approx(200)
+    assert water_filling(sizes, targets, 200 - 1e-6) == pytest.approx({"a": 100, "b": 100, "gone": 0})
+    assert exact_total({}, targets) == 0 and exact_total({}, {}) == 0
+
+
 @pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary")
 def test_selection_meets_the_plan(spark):
     docs = [(i, " Big " if i % 4 else "small", "the quick brown fox " * (1 + i % 5), i) for i in range(2000)] + [(9001, None, "x", 0), (9002, "small", None, 0), (9003, "big", "", 0), (9004, "other", "y", 0)]
