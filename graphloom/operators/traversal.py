@@ -38,7 +38,7 @@ def least_depths(edges: DataFrame, starts: DataFrame, depth: int | None = None)
     shared folder, and nodes met before leave by an anti join, so cycles end.
     """
     scratch = Scratch(edges.sparkSession)
-    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    e = scratch.keep(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
     frontier = starts.select(F.col("node").alias("start"), "node").distinct()
     seen: list[DataFrame] = []
     level = 0
@@ -90,8 +90,10 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, dept
     ever formed, and the search ends at the first level that meets a target.
     """
     scratch = Scratch(edges.sparkSession)
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))).where("node <> next").distinct()
-    goal = targets.select("node").distinct()
+    ends = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("next")), F.struct(F.col("dst").alias("node"), F.col("src").alias("next")))
+    both = scratch.keep(edges.select(F.inline(ends)).where("node <> next").distinct())
+    goal = scratch.keep(targets.select("node").distinct())
+    sources = scratch.keep(sources.select("node").distinct())
     # A node that is source and target at once is no end for its own paths: the search keeps sources apart.
     frontier = sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path")).distinct()
     seen = frontier.select("source", "node")
