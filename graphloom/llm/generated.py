@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,10 @@ def head_comment(text: str) -> str:
     return "\n".join(lines)
 
 
+def _shingles(tokens: np.ndarray) -> np.ndarray:
+    return np.unique(window_hashes(tokens, min(SHINGLE, max(len(tokens), 1))))
+
+
 def measures(text: str, ids: WordIds) -> tuple[np.ndarray, float, float, bool]:
     """(distinct shingle hashes, repetition, literal share, minified) of a text.
 
@@ -91,7 +96,7 @@ def measures(text: str, ids: WordIds) -> tuple[np.ndarray, float, float, bool]:
     """
     tokens, literal = masked_tokens(text)
     u = ids(tokens)
-    shingles = np.unique(window_hashes(u, min(SHINGLE, max(len(tokens), 1))))
+    shingles = _shingles(u)
     wide = window_hashes(u, 10)
     repetition = 1 - len(np.unique(wide)) / len(wide) if len(wide) else 0.0
     lines = [x for x in text.splitlines() if not x.lstrip().startswith(("//", "*", "/*"))]
@@ -137,11 +142,101 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SKETCH.split(", ")])
 
 
+#: A band's crowd is compared in blocks of so many classes, so that two blocks fit into a task's memory.
+BLOCK = 2048
+#: Up to so many distinct shingles, sets travel as numbers in their sorted list instead of as hashes.
+CODED = 1_000_000
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = WordIds()
     for batch in batches:
-        sets = [measures(t, ids)[0].view(np.int64).tolist() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+        sets = [_shingles(ids(masked_tokens(t)[0])) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["rep", "shingles"])
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch.column(0).flatten().to_numpy()))], ["shingle"])
+
+
+def _packed(known: np.ndarray | None):
+    """Sets as bytes: the gaps between their numbers in `known`, or the hashes where that is None."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.array(x, np.int64) for x in batch.column(1).to_pylist()]
+            if known is not None:
+                sets = [np.diff(np.sort(np.searchsorted(known, x)), prepend=0).astype(np.uint32) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(x.tobytes(), 1) for x in sets], pa.binary())], ["rep", "packed"])
+
+    return work
+
+
+def links_within(reps: list[int], parts: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect all sets which similar pairs connect, beside what parts connects already.
+
+    Each set is compared with every one not yet reached from it, so no similar pair is passed over
+    unless its ends are connected anyway. parts: equal numbers are connected before.
+    """
+    size = np.array([len(x) for x in sets])
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    flags = np.zeros((len(sets), -(-len(known) // 64) * 64), np.bool_)
+    flags[np.repeat(np.arange(len(sets)), size), at] = True
+    bits = np.packbits(flags, axis=1).view(np.uint64)
+    part = np.array(parts)
+    left, links = np.arange(len(sets)), []
+    while len(left):
+        own = part[left] == part[left[0]]
+        open_, left = left[own].tolist(), left[~own]
+        while open_ and len(left):
+            x = open_.pop()
+            common = np.bitwise_count(bits[left] & bits[x]).sum(axis=1, dtype=np.int64)
+            near = left[common >= SIMILAR * (size[left] + size[x] - common)]
+            if len(near):
+                links += [(reps[x], reps[y]) for y in near.tolist()]
+                reached = np.isin(part[left], part[near])
+                open_ += left[reached].tolist()
+                left = left[~reached]
+    return links
+
+
+def _links(coded: bool):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close():
+            if len(reps) > 1 and len(set(parts)) > 1:
+                raw = [zlib.decompress(x) for x in packed]
+                links = links_within(reps, parts, [np.cumsum(np.frombuffer(x, np.uint32), dtype=np.int64) if coded else np.frombuffer(x, np.int64) for x in raw])
+                found.update((min(p), max(p)) for p in links)
+
+        def out():
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+
+        found: set[tuple[int, int]] = set()
+        group, reps, parts, packed = None, [], [], []
+        for batch in batches:
+            for *g, rep, part, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if g != group:
+                    close()
+                    group, reps, parts, packed = g, [], [], []
+                reps.append(rep)
+                parts.append(part)
+                packed.append(data)
+            if len(found) > 100_000:
+                yield out()
+        close()
+        if found:
+            yield out()
+
+    return work
+
+
+def _similar(met: DataFrame, sets: DataFrame, coded: bool) -> DataFrame:
+    """(x, y): links inside groups. met: band, i, j (the group), rep, part; sets: rep, packed."""
+    rows = met.join(sets, "rep").select("band", "i", "j", "rep", "part", "packed")
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInArrow(_links(coded), "x long, y long").distinct()
 
 
 def file_families(files: DataFrame, scratch: Scratch) -> DataFrame:
@@ -149,23 +244,38 @@ def file_families(files: DataFrame, scratch: Scratch) -> DataFrame:
 
     files: doc_id, project, text, ending. Files with equal sets of masked shingles form one class;
     classes whose sets have a Jaccard similarity of SIMILAR or more are linked, and linked classes form a family.
+
+    All pairs that meet in a band count, however many meet there, but a pair whose ends are connected
+    already is not compared. Crowds of more than BLOCK classes are first compared block by block, each
+    with the crowd's first class; blocks are then compared with each other if the crowd is not
+    connected by that, so that copies of one template cost no more than their number.
     """
     sketch = scratch.keep(files.select("doc_id", "project", "text", "ending").mapInArrow(_sketch, _SKETCH))
     classes = scratch.keep(sketch.groupBy("same").agg(F.min("doc_id").alias("rep")))
     reps = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0")
     bands = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     crowds = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).where("n > 1")
-    met = scratch.keep(bands.join(crowds, "band"))
-    few = met.where("n <= 64").select("band", "rep")
-    pairs = few.alias("a").join(few.alias("b"), "band").where("a.rep < b.rep").select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))
-    # Members of a larger crowd are compared with its first member, another one in each band.
-    pairs = pairs.unionByName(met.where("n > 64 and rep <> head").select(F.col("head").alias("x"), F.col("rep").alias("y"))).distinct()
-    pairs = scratch.keep(pairs)
-    asked = scratch.keep(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = scratch.keep(keyed(files, asked, ["doc_id"]).select("doc_id", "text").mapInArrow(_shingle_sets, "rep long, shingles array<long>"))
-    both = pairs.join(sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("shingles").alias("sy")), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    links = scratch.keep(both.where(common >= SIMILAR * (F.size("sx") + F.size("sy") - common)).select("x", "y"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    met = scratch.keep(bands.join(crowds, "band").select("band", "rep", "head", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i")))
+    asked = scratch.keep(met.select(F.col("rep").alias("doc_id")).distinct())
+    hashes = scratch.keep(keyed(files, asked, ["doc_id"]).select("doc_id", "text").mapInArrow(_shingle_sets, "rep long, shingles array<long>"))
+    vocabulary = hashes.select("shingles").mapInArrow(_distinct, "shingle long").distinct().limit(CODED + 1)
+    known = np.sort(np.array([r[0] for r in vocabulary.collect()], np.int64))
+    coded = len(known) <= CODED
+    sets = scratch.keep(hashes.mapInArrow(_packed(known if coded else None), "rep long, packed binary"))
+    scratch.drop(hashes)
+    own = met.withColumn("j", F.col("i"))
+    heads = met.where("blocks > 1").where("rep = head").select("band", "rep", "head", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "i").where("i <> j").select("band", F.col("rep"), F.col("j").alias("i"), "j")
+    first = own.select("band", "i", "j", "rep").unionByName(heads).withColumn("part", F.col("rep"))
+    links = scratch.keep(_similar(first, sets, coded))
+    wide = met.where("blocks > 1")
+    if wide.limit(1).count():
+        root = _components(links, scratch)
+        parted = wide.join(root, wide["rep"] == root["node"], "left").select("band", "blocks", "i", "rep", F.coalesce("family", "rep").alias("part"))
+        split = parted.groupBy("band").agg((F.min("part") < F.max("part")).alias("split")).where("split").select("band")
+        parted = parted.join(split, "band", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> k")
+        across = parted.select("band", F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"), "rep", "part")
+        links = scratch.keep(links.unionByName(_similar(across, sets, coded)))
     root = _components(links, scratch)
     member = classes.join(root, classes["rep"] == root["node"], "left").select("same", F.coalesce("family", "rep").alias("family"))
     named = sketch.drop("bands").join(member, "same")

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 from conftest import rows
 
+from graphloom.llm import generated
 from graphloom.llm.generated import classify_files
+from graphloom.session import Scratch
 
 HAND = "package com.a\n\nclass {n}(private val a: Repo) {{\n    // generated code is welcome here\n    fun {f}(x: Int): Int {{\n        if (x > {k}) return a.{f}(x) + {k}\n        for (i in a.items()) {{ log.info(\"seen $i {k}\") }}\n        return when (x) {{ {k} -> 1 else -> a.get(x) }}\n    }}\n}}\n"
 
@@ -46,3 +49,22 @@ def test_similar_files_form_a_family(spark):
     d = spark.createDataFrame([(i, f"/p{i}", f"/p{i}/x{i}.js", t) for i, t in docs], "doc_id long, project_path string, file_path string, text string")
     o = spark.createDataFrame([], "project_path string, include_declaration_files boolean, additional_excluded_patterns array<string>")
     assert rows(classify_files(d, o), "doc_id", "family", "family_files", "family_projects") == [(1, 1, 3, 3), (2, 1, 3, 3), (3, 1, 3, 3), (4, 4, 1, 1)]
+
+
+def test_crowded_bands_lose_no_link(spark, monkeypatch):
+    # All share a base; the first 60 have long endings of their own and are like nobody, the others are like each other.
+    r = random.Random(9)
+    marks = lambda n: " ".join(r.choice("+-*()[]{}<>=!&|^~?:,;.@%") for _ in range(n))
+    base = marks(131)
+    docs = [(k, f"{base} {marks(40 if k < 60 else 10)}") for k in range(210)]
+    d = spark.createDataFrame([(k, "/p", t, "js") for k, t in docs], "doc_id long, project string, text string, ending string")
+    for block in (2048, 16):
+        monkeypatch.setattr(generated, "BLOCK", block, raising=False)
+        got = dict(rows(generated.file_families(d, Scratch(spark)), "doc_id", "family"))
+        assert got == {k: min(k, 60) for k in range(210)}
+
+
+def test_members_unlike_the_head_are_linked():
+    sets = [np.arange(0, 100), np.arange(40, 140), np.arange(42, 142), np.arange(300, 400), np.arange(301, 401)]
+    assert sorted(generated.links_within([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], sets)) == [(2, 3), (4, 5)]
+    assert generated.links_within([1, 2, 3], [1, 2, 2], sets[:3]) == []
