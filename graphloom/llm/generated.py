@@ -16,8 +16,7 @@ from graphloom.llm.syntax import fault, source_ending
 from graphloom.llm.textops import WordIds, mix, window_hashes
 from graphloom.session import Scratch, keyed
 
-#: Tokens of a masked shingle. With five, hand-written files of one language reach similarities of 0.5 to 0.6 by grammar alone;
-#: 32 tokens are a few statements, which only copies and the output of one generator have in common.
+#: Tokens of a masked shingle.
 SHINGLE = 32
 #: MinHash bands and rows: at a similarity of 0.8 a pair meets in some band with probability 0.998.
 BANDS, ROWS = 20, 6
@@ -45,6 +44,9 @@ BUILD_PLACES = ("build", "target", "dist", "out", "bin/generated", "generated",
 VENDOR_PLACES = ("vendor", "vendors", "third_party", "third-party", "thirdparty", "node_modules", "bower_components", "extern", "external", "externals", "libs/external", "lib/external", "Pods", "deps", "contrib/vendor")
 
 
+_LINE = re.compile(r"[^\r\n]+")
+
+
 def masked_tokens(text: str) -> tuple[list[str], int]:
     """Tokens without comments, and the characters of literals.
 
@@ -70,12 +72,18 @@ def masked_tokens(text: str) -> tuple[list[str], int]:
 
 
 def head_comment(text: str) -> str:
-    """The comment lines before any code."""
+    """The comment lines before any code, however many; of a line that goes on with code only the comment."""
     lines, block = [], False
-    for line in text[:4000].splitlines():
+    for m in _LINE.finditer(text):
+        line = m[0]
         s = line.strip()
         if not block and s and not _HEADER_LINE.match(line):
             break
+        begun = block or s.startswith("/*")
+        end = line.find("*/", 0 if block else line.find("/*") + 2) if begun else -1
+        if end >= 0 and (rest := line[end + 2 :]).strip() and not _HEADER_LINE.match(rest):
+            lines.append(line[: end + 2])
+            break
         lines.append(line)
         if "/*" in s and "*/" not in s.split("/*", 1)[1]:
             block = True

@@ -68,3 +68,9 @@ def test_members_unlike_the_head_are_linked():
     sets = [np.arange(0, 100), np.arange(40, 140), np.arange(42, 142), np.arange(300, 400), np.arange(301, 401)]
     assert sorted(generated.links_within([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], sets)) == [(2, 3), (4, 5)]
     assert generated.links_within([1, 2, 3], [1, 2, 2], sets[:3]) == []
+
+
+def test_head_comment_has_no_length_limit():
+    licence = "/*\n" + " * Some words of a licence.\n" * 400 + " */\n"
+    assert generated.GENERATED_STATEMENT.search(generated.head_comment(licence + "// Code generated by x. DO NOT EDIT.\nclass A\n"))
+    assert generated.head_comment("/* a */ const b = 'do not edit';\n// c\n") == "/* a */"
