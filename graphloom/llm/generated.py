@@ -17,7 +17,7 @@ from graphloom.llm.textops import WordIds, mix, window_hashes
 from graphloom.session import Scratch, keyed
 
 #: Tokens of a masked shingle.
-SHINGLE = 32
+SHINGLE = 5
 #: MinHash bands and rows: at a similarity of 0.8 a pair meets in some band with probability 0.998.
 BANDS, ROWS = 20, 6
 SIMILAR = 0.8

@@ -74,3 +74,8 @@ def test_head_comment_has_no_length_limit():
     licence = "/*\n" + " * Some words of a licence.\n" * 400 + " */\n"
     assert generated.GENERATED_STATEMENT.search(generated.head_comment(licence + "// Code generated by x. DO NOT EDIT.\nclass A\n"))
     assert generated.head_comment("/* a */ const b = 'do not edit';\n// c\n") == "/* a */"
+
+
+def test_shingles_have_five_tokens():
+    marks = list("+-*()[]{}")
+    assert generated.SHINGLE == 5 and len(generated.measures("".join(marks), generated.WordIds())[0]) == len(marks) - 4
