@@ -325,8 +325,8 @@ def classify_files(documents: DataFrame, options: DataFrame) -> DataFrame:
     Method: comments are dropped and identifiers and literals masked, so files that one generator wrote
     give the same token shingles whatever names they hold. Equal sets form classes, MinHash bands propose pairs
     of classes, exact Jaccard similarity verifies them. A family whose files repeat the same few
-    statements is generated, one made of literals is data, one across repositories that holds a third
-    party's banner is vendored code; copies between the projects alone say nothing. Repetition inside a file counts like a family of its own.
+    statements is generated, one made of literals is data. Repetition inside a file counts like a family of its own.
+    The size of a family, the sameness of its project and the banner of another file of it flag nothing: see README.
     """
     scratch = Scratch(documents.sparkSession)
     ending = source_ending(F.col("file_path"))
