@@ -9,11 +9,12 @@ from graphloom.session import Scratch
 
 
 def resolve_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
-    """Root and depth of every node of a forest: (tree, node, root, depth[, path]).
+    """Root and depth of every node of a forest: (tree, node, root, depth[, path, loop_path]).
 
     links: tree, node (each once a tree, not NULL), parent (NULL or no node of the tree: a root).
     A node whose chain ends in a loop gets root = smallest node on the loop in byte order and
-    depth = -1 (and path NULL). path lists the nodes from the root to the node itself.
+    depth = -1 (and path NULL). path lists the nodes from the root to the node itself. loop_path does so for the nodes
+    on or below a loop, which is cut above its smallest node; it is NULL for all others.
 
     Method: every node holds a pointer to an ancestor; each round joins the pointers with
     themselves and doubles the distance they reach, appending path segments. Nodes that have
@@ -46,10 +47,15 @@ def resolve_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
         # Later pointers may lead to any node resolved so far, or to an open one.
         kept = _union([*done, open_])
         before, left = left, open_.count()
-    out = [d.select("tree", "node", "root", "dist", *(["path"] if with_path else [])) for d in done]
+    none = F.lit(None).cast("array<string>")
+    out = [d.select("tree", "node", "root", "dist", *(["path", none.alias("loop_path")] if with_path else [])) for d in done]
     if left:
-        loops = _loop_roots(links, open_.select("tree", "node"), scratch)
-        out.append(loops.select("tree", "node", "root", F.lit(-1).alias("dist"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else [])))
+        loops = scratch.keep(_loop_roots(links, open_.select("tree", "node"), scratch))
+        if with_path:
+            cut = links.join(loops, ["tree", "node"]).select("tree", "node", F.when(F.col("node") != F.col("root"), F.col("parent")).alias("parent"))
+            out.append(resolve_hierarchy(cut, True).select("tree", "node", "root", F.lit(-1).alias("dist"), none.alias("path"), F.col("path").alias("loop_path")))
+        else:
+            out.append(loops.select("tree", "node", "root", F.lit(-1).alias("dist")))
     return _union(out).withColumnRenamed("dist", "depth").withColumn("depth", F.col("depth").cast("int"))
 
 
@@ -81,13 +87,13 @@ def _loop_roots(links: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFra
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
-    """(tree, ancestor, node, distance) for every node and each node above it, from `resolve_hierarchy(..., with_path=True)`.
+    """(tree, ancestor, node, distance, loop) for every node and each node above it, from `resolve_hierarchy(..., with_path=True)`.
 
-    Nodes on or leading into loops have no path and give no row.
+    loop: both are on or below a loop; the loop is cut above its smallest node, which is the ancestor of all others there.
     """
     return (
-        resolved.where("path is not null")
-        .select("tree", "node", F.size("path").alias("_n"), F.posexplode("path").alias("_at", "ancestor"))
+        resolved.select("tree", "node", F.coalesce("path", "loop_path").alias("path"), F.col("path").isNull().alias("loop"))
+        .select("tree", "node", "loop", F.size("path").alias("_n"), F.posexplode("path").alias("_at", "ancestor"))
         .where("_at < _n - 1")
-        .select("tree", "ancestor", "node", (F.col("_n") - 1 - F.col("_at")).cast("int").alias("distance"))
+        .select("tree", "ancestor", "node", (F.col("_n") - 1 - F.col("_at")).cast("int").alias("distance"), "loop")
     )

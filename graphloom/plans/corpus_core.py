@@ -110,13 +110,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Full path of every symbol from its root, joined by ` > `."""
+    """Full path of every symbol from its root, joined by ` > `; depth -1: from the smallest symbol of the loop it is on or below."""
     r = resolve_hierarchy(_links(spark, d), with_path=True)
-    return r.select("tree", F.col("node").alias("node_fqn"), "depth", F.array_join("path", " > ").alias("path"))
+    return r.select("tree", F.col("node").alias("node_fqn"), "depth", F.array_join(F.coalesce("path", "loop_path"), " > ").alias("path"))
 
 
 def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of a symbol and a symbol below it, with the distance."""
+    """Every pair of a symbol and a symbol below it, with the distance and whether they are on or below a loop."""
     r = resolve_hierarchy(_links(spark, d), with_path=True)
     return descendants(r).withColumnsRenamed({"ancestor": "ancestor_fqn", "node": "node_fqn"})
 

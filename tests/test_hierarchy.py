@@ -45,5 +45,13 @@ def test_paths_and_descendants(spark):
     assert ("a", "d", 3) in rows(descendants(out), "ancestor", "node", "distance") and descendants(out).count() == 6
 
 
+def test_descendants_on_and_below_loops(spark):
+    links = [("a", "c"), ("b", "a"), ("c", "b"), ("x", "b"), ("y", "x"), ("r", None), ("s", "r")]
+    out = _got(spark, links, with_path=True)
+    assert rows(out.where("depth = -1"), "node", "root", "loop_path") == [("a", "a", ["a"]), ("b", "a", ["a", "b"]), ("c", "a", ["a", "b", "c"]), ("x", "a", ["a", "b", "x"]), ("y", "a", ["a", "b", "x", "y"])]
+    below = [("a", "b", 1), ("a", "c", 2), ("a", "x", 2), ("a", "y", 3), ("b", "c", 1), ("b", "x", 1), ("b", "y", 2), ("x", "y", 1)]
+    assert rows(descendants(out), "ancestor", "node", "distance", "loop") == sorted([(*b, True) for b in below] + [("r", "s", 1, False)], key=repr)
+
+
 def test_empty(spark):
     assert _got(spark, []).count() == 0
