@@ -24,7 +24,8 @@ _SECRET_NAME = (
 _IS = r"""["'`]?\]?(?:[ \t]*:[ \t]*[\w.<>?\[\] |]{1,60}=(?!=)|[ \t]*=(?!=)>?|[ \t]*:(?!:)|[ \t]+(?:to|is)(?=[ \t]))(?:[ \t]*[\r\n]+[ \t]*(?=["'`]))?[ \t]*"""
 _TEXT = r"(?P<rhs>[^\n\r]{1,600}(?:(?<=\+)\s*[\r\n]+\s*[\"'`][^\n\r]{1,600}){0,8})"
 
-#: Detection rules: name -> regular expression. The group `v` holds the secret, `rhs` an expression that may hold some.
+#: Detection rules: name -> regular expression. The group `v` holds the secret, `rhs` an expression that may hold some;
+#: it lies ahead of the match, so that names inside it are tried as well.
 RULES = {
     "aws_key": r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[A-Z2-7]{16})(?![A-Za-z0-9])",
     "github": r"(?<![A-Za-z0-9])(?P<v>gh[pousr]_[A-Za-z0-9]{36,})",
@@ -42,7 +43,7 @@ RULES = {
     "url": r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:(?P<v>[^\s@/\"'`]{3,})@",
     "parameter": r"[?&;](?i:password|passwd|pwd|passphrase|secret|token|access_token|api_?key|client_secret|sig)=(?P<v>[^&\s\"'`;<]+)",
     "lookup": r"(?i:env|property)[\[(.\"'\s]+\w*(?i:password|passwd|pwd|passphrase|secret|token|key)[\"'\])\s]*(?:\?:|\|\||\?\?|,)\s*(?P<rhs>[\"'`][^\n\r]{1,300})",
-    "assigned_pass": rf"{_SECRET_NAME}{_IS}{_TEXT}",
+    "assigned_pass": rf"{_SECRET_NAME}{_IS}(?={_TEXT})",
 }
 
 _PLACEHOLDER = re.compile(
@@ -51,6 +52,8 @@ _PLACEHOLDER = re.compile(
 _PATTERN = re.compile(r"\[[^\]]+\]|\\[dwsDWS]|\(\?|\{\d+,?\d*\}|\.[*+]")
 _QUOTED = re.compile(r'"""(.*?)"""|"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`]*)`', re.S)
 _LOOKUP_CALL = re.compile(r"(?i)(?:getenv|getproperty|env|environ|read|lookup|resolve|fetch\w*|load\w*|find\w*|get|getstring|getsecret|config|property|header)\s*[(\[]\s*\Z")
+_LINE_END = re.compile(r"[\n\r]|\Z")
+_TICKED = re.compile(r"`([^`\n]+)`")
 _BARE = re.compile(r"[^\s\"'`,;]+")
 _COMPILED: dict[str, re.Pattern] = {}
 
@@ -61,10 +64,19 @@ def _rule(name: str) -> re.Pattern:
     return _COMPILED[name]
 
 
+def _private_der(v: str) -> bool:
+    """Whether text is Base64 of a private key: a DER sequence that begins with version 0 or 1, as public keys and certificates do not."""
+    try:
+        head = base64.b64decode(v[:16], validate=True)
+    except (binascii.Error, ValueError):
+        return False
+    return bool(re.match(rb"\x30(?:[\x00-\x7f]|\x81.|\x82..|\x83...)\x02\x01[\x00\x01]", head, re.S)) and bool(re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", v))
+
+
 def usable(value: str) -> bool:
     """Whether text can be a secret rather than a name, a placeholder, a mask, a route, a pattern or embedded data."""
     v = value.strip()
-    if not 6 <= len(v) <= 200 or re.search(r"\s", v) or _PLACEHOLDER.match(v) or len(set(v)) < 4:
+    if len(v) < 6 or len(v) > 200 and not _private_der(v) or re.search(r"\s", v) or _PLACEHOLDER.match(v) or len(set(v)) < 4:
         return False
     if "://" in v or v.startswith(("/", "data:", "--")) or _PATTERN.search(v) or "BEGIN" in v and "KEY" in v:
         return False
@@ -85,16 +97,19 @@ def _decoded(v: str) -> str:
         return ""
 
 
-def _literals(rhs: str, at: int, bare: bool) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(value, places) of the literals of an expression; literals joined by + make one value."""
+def _literals(text: str, at: int, stop: int, bare: bool) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(value, places) of the literals that begin in an expression, text[at:stop]; literals joined by + make one value."""
     pieces: list[tuple[str, int, int, str]] = []
     end = None
-    for m in _QUOTED.finditer(rhs):
+    line_end = _LINE_END.search(text, stop).start()
+    for m in _QUOTED.finditer(text, at, line_end):
+        if m.start() >= stop:
+            break
         g = next(i for i in range(1, 5) if m[i] is not None)
-        between = rhs[end or 0 : m.start()]
+        between = text[end or at : m.start()]
         if end is not None and re.search(r"[;\n\r]", between) and not re.fullmatch(r"\s*\+\s*", between):
             break
-        pieces.append((m[g], at + m.start(g), at + m.end(g), between))
+        pieces.append((m[g], m.start(g), m.end(g), between))
         end = m.end()
     k = 0
     while k < len(pieces):
@@ -107,14 +122,14 @@ def _literals(rhs: str, at: int, bare: bool) -> Iterator[tuple[str, list[tuple[i
         if not looked_up:
             yield value, places
         k += 1
-    if bare and not rhs.lstrip().startswith(("\"", "'", "`")):
-        m = _BARE.match(rhs)
+    if bare and not text[at:stop].lstrip().startswith(("\"", "'", "`")):
+        m = _BARE.match(text, at, line_end)
         if m and not re.search(r"[()]", m[0]):  # code, as in a call or a list of parameters
-            yield m[0], [(at + m.start(), at + m.end())]
+            yield m[0], [m.span()]
     elif bare:
-        m = re.match(r"`([^`\n]+)`", rhs)
+        m = _TICKED.match(text, at, line_end)
         if m:
-            yield m[1], [(at + m.start(1), at + m.end(1))]
+            yield m[1], [m.span(1)]
 
 
 def secrets_in(text: str, rules: list[str], source: bool) -> list[tuple[int, int, str]]:
@@ -125,7 +140,7 @@ def secrets_in(text: str, rules: list[str], source: bool) -> list[tuple[int, int
             if "rhs" in m.re.groupindex:
                 if name == "assigned_pass" and source and re.search(r"(?:==|!=|[,(]\s*)\Z", m[0][: m.start("rhs") - m.start()]):
                     continue
-                for value, places in _literals(m["rhs"], m.start("rhs"), not source and name != "lookup"):
+                for value, places in _literals(text, *m.span("rhs"), not source and name != "lookup"):
                     if usable(value):
                         found += [(a, b, name) for a, b in places if b > a]
                 continue

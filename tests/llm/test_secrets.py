@@ -63,3 +63,18 @@ def test_rows_and_redaction(spark):
     assert out["documents", 1] == 'val apiKey = "REDACTED" +\n    "REDACTED"\r\nval b = 2\n'
     assert out["documents", 2] == far + "smtpPass=REDACTED\n" + far
     assert find_secrets(r.limit(0)).count() == 0
+
+
+def test_every_name_on_a_line_is_tried():
+    values = lambda text, source: {text[a:b] for a, b, _ in secrets_in(text, list(RULES), source)}
+    assert values('var password=env("DB");var token="Ab12cd34ef"', True) == {"Ab12cd34ef"}
+    assert values("The token is rotated; password: Xy12abcd\n", False) == {"Xy12abcd"}
+    assert values("PASSWORD=${X} TOKEN=ab12cd34\n", False) == {"ab12cd34"}
+
+
+def test_long_keys_and_embedded_data():
+    key = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQ" + "C7c0Zq9b1x" * 120
+    text = f'val privateKey = "{key}"\n'
+    assert [(text[a:b]) for a, b, _ in secrets_in(text, list(RULES), True)] == [key]
+    assert secrets_in(f'val token = "{"iVBORw0KGgoAAAANSUhEUgAA" * 40}"\n', list(RULES), True) == []
+    assert secrets_in(f'val signingKey = "MIIBIjANBgkqhkiG9w0BAQEFAAOCAQ8AMIIBCgKCAQEA{"C7c0Zq9b1x" * 30}"\n', list(RULES), True) == []
