@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import function_name
+from graphloom.functions.text import function_name, reference_text
 from graphloom.functions.types import overload_score
+from graphloom.operators import traversal
 
 
 def function_symbols(symbols: DataFrame) -> DataFrame:
@@ -41,8 +42,9 @@ def best_overloads(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """(call_id, step, to_fqn): where a call leads, by the first strategy that finds something.
 
-    Steps: 1 method of the receiver's class, 3 method of the caller's own class, 5 function of the
-    caller's package, 8 any function of that name. A class is named by its simple name, which must
+    Steps: 1 method of the receiver's class, 2 of its nearest supertype that has it, 3 extension
+    function for the receiver's class, 4 method of the caller's own class, 5 of its nearest
+    supertype, 6 function of the caller's package, 8 any function of that name. A class is named by its simple name, which must
     be unique among types. Of several functions the first one indexed counts. Calls that nothing
     resolves have no row.
     """
@@ -57,11 +59,20 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     types = symbols.where("kind in ('class', 'interface', 'object', 'enum', 'annotation') and fqn is not null").groupBy("name").agg(F.min("fqn").alias("type"), F.count_distinct("fqn").alias("n")).where("n = 1")
     methods = first("declaring_type_fqn", "name").join(types.withColumnRenamed("name", "simple"), F.col("declaring_type_fqn") == F.col("type")).select("simple", "name", "to_fqn")
     on_receiver = kinds.join(methods.withColumnRenamed("simple", "receiver"), ["receiver", "name"]).select(*kinds.columns, F.lit(1).alias("step"), "to_fqn")
-    on_own = kinds.join(methods.withColumnRenamed("simple", "own"), ["own", "name"]).select(*kinds.columns, F.lit(3).alias("step"), "to_fqn")
+    on_own = kinds.join(methods.withColumnRenamed("simple", "own"), ["own", "name"]).select(*kinds.columns, F.lit(4).alias("step"), "to_fqn")
+    above = F.explode(F.concat(F.array("super_class"), F.coalesce("interfaces", F.array().cast("array<string>"))))
+    up = symbols.where("kind in ('class', 'interface', 'object', 'enum', 'annotation') and fqn is not null").select(F.col("fqn").alias("src"), above.alias("dst"))
+    up = up.select("src", reference_text(F.col("dst")).alias("dst")).where("dst is not null and src <> dst").distinct()
+    far = traversal.closure(up).where("start <> node").join(types.select(F.col("name").alias("simple"), F.col("type").alias("start")), "start")
+    passed_on = far.join(f.withColumnRenamed("declaring_type_fqn", "node"), "node").groupBy("simple", "name").agg(F.min_by("fqn", F.struct("depth", "ins_seq", "fqn")).alias("to_fqn"))
+    by_super = lambda side, step: kinds.join(passed_on.withColumnRenamed("simple", side), [side, "name"]).select(*kinds.columns, F.lit(step).alias("step"), "to_fqn")
+    extensions = symbols.where("kind = 'function' and is_extension and fqn is not null").select("name", "fqn", "ins_seq", reference_text(F.col("receiver_type")).alias("on"))
+    extensions = extensions.groupBy(F.substring_index("on", ".", -1).alias("receiver"), "name").agg(F.min_by("fqn", "ins_seq").alias("to_fqn"), F.count_distinct("on").alias("n")).where("n = 1")
+    extended = kinds.join(extensions, ["receiver", "name"]).select(*kinds.columns, F.lit(3).alias("step"), "to_fqn")
     top = f.where("declaring_type_fqn is null and package_name is not null").groupBy("package_name", "name").agg(F.min_by("fqn", "ins_seq").alias("to_fqn")).withColumnRenamed("package_name", "package")
-    in_package = kinds.join(top, ["package", "name"]).select(*kinds.columns, F.lit(5).alias("step"), "to_fqn")
+    in_package = kinds.join(top, ["package", "name"]).select(*kinds.columns, F.lit(6).alias("step"), "to_fqn")
     anywhere = kinds.join(first("name"), "name").select(*kinds.columns, F.lit(8).alias("step"), "to_fqn")
-    found = on_receiver.unionByName(on_own).unionByName(in_package).unionByName(anywhere)
+    found = on_receiver.unionByName(by_super("receiver", 2)).unionByName(extended).unionByName(on_own).unionByName(by_super("own", 5)).unionByName(in_package).unionByName(anywhere)
     best = found.groupBy(*kinds.columns).agg(F.min(F.struct("step", "to_fqn")).alias("b")).select(*[F.col(k).alias(f"_{k}") for k in kinds.columns], "b.*")
     same = [c[k].eqNullSafe(best[f"_{k}"]) for k in kinds.columns]
     return c.join(best, [*same]).select("call_id", "step", "to_fqn")
