@@ -23,7 +23,7 @@ class GraphStore:
     def write(self, nodes: DataFrame, edges: DataFrame) -> str:
         """Replaces the graph; nodes need label, edges rel_type. Returns the snapshot's name."""
         name = uuid.uuid4().hex[:12]
-        nodes.repartition("label").sortWithinPartitions("name").write.partitionBy("label").parquet(f"{self.root}/{name}/nodes")
+        nodes.repartitionByRange("label", "name").sortWithinPartitions("label", "name").write.partitionBy("label").parquet(f"{self.root}/{name}/nodes")
         edges.write.partitionBy("rel_type").parquet(f"{self.root}/{name}/edges")
         current = json.dumps([name, nodes.schema.json(), edges.schema.json()])
         self.spark.range(1).select(F.lit(current).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/_CURRENT")

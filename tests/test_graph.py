@@ -114,3 +114,14 @@ def test_store_and_output(spark, tmp_path):
     assert compact(store.nodes().orderBy("key"), "NODES", ["name", "file_path"]) == "NODES (2):\nB | /q/B.kt\nk | "
     store.clear()
     assert compact(store.nodes(), "NODES", ["name"]) == "NODES: No results found."
+
+
+def test_store_splits_a_large_label(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    nodes = spark.range(4000).select(F.lit("Function").alias("label"), F.col("id").cast("string").alias("key"), F.format_string("f%05d", "id").alias("name"), F.lit("/p/A.kt").alias("file_path"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        name = store.write(nodes, spark.createDataFrame([("CALLS", "1", "2")], "rel_type string, src string, dst string"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "g" / name / "nodes" / "label=Function").glob("*.parquet"))) > 1
