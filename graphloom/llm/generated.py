@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.syntax import fault, source_ending
-from graphloom.llm.textops import WordIds, mix, window_hashes
+from graphloom.llm.textops import mix
 from graphloom.session import Scratch, keyed
 
 #: Tokens of a masked shingle.
@@ -22,8 +22,9 @@ SHINGLE = 5
 BANDS, ROWS = 20, 6
 SIMILAR = 0.8
 
-_TOKEN = re.compile(
-    r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:.*?)(?:"""|\Z)|"(?:[^"\\\n]|\\.)*"?|\'(?:[^\'\\\n]|\\.)*\'?|`[^`]*`?|(\d[\w.]*)|([A-Za-z_$][\w$]*)|[^\s\w]', re.S
+#: Comments and strings; names, numbers and marks never begin inside them.
+_CUT = re.compile(
+    r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:.*?)(?:"""|\Z)|"(?:[^"\\\n]|\\.)*"?|\'(?:[^\'\\\n]|\\.)*\'?|`[^`]*`?', re.S
 )
 #: Words of the four languages that masking keeps.
 KEYWORDS = frozenset(
@@ -47,28 +48,69 @@ VENDOR_PLACES = ("vendor", "vendors", "third_party", "third-party", "thirdparty"
 _LINE = re.compile(r"[^\r\n]+")
 
 
-def masked_tokens(text: str) -> tuple[list[str], int]:
-    """Tokens without comments, and the characters of literals.
+_WORD, _DIGIT = 1, 2
+_NAME_CODE, _NUMBER_CODE, _STRING, _OTHER_LETTER, _OTHER_MARK = 90, 91, "\x00", "\xaa", "\xa7"
+#: Kind of every character: part of a word, digit, or neither; and the token of every mark.
+_KIND = np.array([_DIGIT if chr(c) in "0123456789" else _WORD if chr(c) in "_$" or chr(c).isalnum() else 0 for c in range(128)] + [_WORD] * 128, np.uint8)
+_MARK = np.array([0 if chr(c).isspace() or _KIND[c] else c | 0x80 for c in range(128)] + [0xFF] * 128, np.uint8)
+_KIND[ord(_OTHER_MARK)] = 0
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    Identifiers become I, numbers N, strings S; keywords and marks stay.
+
+def _word_keys(b: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number for each word, from its first and last eight letters and its length."""
+    eight = np.lib.stride_tricks.sliding_window_view(b, 8)
+    mask = _LOW_BYTES[np.minimum(length, 8)]
+    first, last = (eight[at].reshape(-1).view("<u8") & mask for at in (starts, starts + np.maximum(length - 8, 0)))
+    return mix(mix(first + length.astype(np.uint64)) ^ last)
+
+
+def _keyword_table() -> tuple[np.ndarray, np.ndarray]:
+    words = sorted(KEYWORDS)
+    b = np.frombuffer(b"".join(w.encode().ljust(16, b"\0") for w in words), np.uint8)
+    keys = _word_keys(b, np.arange(len(words)) * 16, np.array([len(w) for w in words]))
+    order = np.argsort(keys)
+    return keys[order], (order + 1).astype(np.uint8)
+
+
+_KEYWORD_KEYS, _KEYWORD_CODES = _keyword_table()
+
+
+def masked_tokens(text: str) -> tuple[np.ndarray, int]:
+    """One byte a token, without comments, and the characters of literals.
+
+    Identifiers, numbers and strings become one byte each; keywords and ASCII marks keep theirs, other marks share one.
     """
-    out, literal = [], 0
-    for m in _TOKEN.finditer(text):
-        kind = m.lastindex
-        if kind == 2:
-            name = m[2]
-            out.append(name if name in KEYWORDS else "I")
-        elif kind == 1:
-            out.append("N")
-            literal += m.end() - m.start()
-        else:
-            t = m[0]
-            if t[0] in "\"'`":
-                out.append("S")
-                literal += len(t)
-            elif len(t) == 1:
-                out.append(t)
-    return out, literal
+    literal = 0
+
+    def cut(m: re.Match) -> str:
+        nonlocal literal
+        if m[0][0] == "/":
+            return " "
+        literal += m.end() - m.start()
+        return _STRING
+
+    plain = _CUT.sub(cut, text.replace(_STRING, " "))
+    if not plain.isascii():
+        plain = re.sub(r"[^\S\x00-\x7f]", " ", plain)
+        plain = re.sub(r"[^\W\x00-\x7f]", _OTHER_LETTER, plain)
+        plain = re.sub(r"[^\x00-\x7f\xaa]", _OTHER_MARK, plain)
+    b = np.frombuffer(plain.encode("latin-1") + b" " * 8, np.uint8)
+    kind = _KIND[b]
+    dots = np.flatnonzero(b[1:-1] == 46) + 1
+    dots = dots[(kind[dots - 1] == _DIGIT) & (kind[dots + 1] == _DIGIT)]
+    word = kind > 0
+    word[dots] = True  # the point of a number
+    edge = np.flatnonzero(np.diff(word, prepend=False))
+    starts, length = edge[::2], edge[1::2] - edge[::2]
+    code = np.where(word, 0, _MARK[b])
+    if len(starts):
+        key = _word_keys(b, starts, length)
+        at = np.minimum(np.searchsorted(_KEYWORD_KEYS, key), len(_KEYWORD_KEYS) - 1)
+        number = kind[starts] == _DIGIT
+        code[starts] = np.where(number, _NUMBER_CODE, np.where(_KEYWORD_KEYS[at] == key, _KEYWORD_CODES[at], _NAME_CODE))
+        literal += int(length[number].sum())
+    return code[code > 0].astype(np.uint8), literal
 
 
 def head_comment(text: str) -> str:
@@ -92,37 +134,58 @@ def head_comment(text: str) -> str:
     return "\n".join(lines)
 
 
-def _shingles(tokens: np.ndarray) -> np.ndarray:
-    return np.unique(window_hashes(tokens, min(SHINGLE, max(len(tokens), 1))))
+def _windows(tokens: np.ndarray) -> np.ndarray:
+    """The runs of SHINGLE tokens, each as the number its bytes make; of a shorter file the one run of all tokens."""
+    k, t = min(SHINGLE, max(len(tokens), 1)), tokens.astype(np.uint64)
+    out = np.zeros(max(len(t) - k + 1, 0), np.uint64)
+    for i in range(k):
+        out = out << np.uint64(8) | t[i : i + len(out)]
+    return out
+
+
+def shingles_of(tokens: np.ndarray) -> np.ndarray:
+    """Distinct shingles, in order."""
+    return np.unique(_windows(tokens))
 
 
-def measures(text: str, ids: WordIds) -> tuple[np.ndarray, float, float, bool]:
-    """(distinct shingle hashes, repetition, literal share, minified) of a text.
+def measures(text: str) -> tuple[np.ndarray, float, float, bool]:
+    """(masked tokens, repetition, literal share, minified) of a text.
 
     repetition: share of ten-token windows that occurred before in the file; literal share: of the
     characters; minified: most code in lines of 300 or more characters with hardly a blank.
     """
     tokens, literal = masked_tokens(text)
-    u = ids(tokens)
-    shingles = _shingles(u)
-    wide = window_hashes(u, 10)
+    five = _windows(tokens)
+    wide = mix(five[: -5 or None]) + five[5:] if len(tokens) >= 10 else five[:0]
     repetition = 1 - len(np.unique(wide)) / len(wide) if len(wide) else 0.0
-    lines = [x for x in text.splitlines() if not x.lstrip().startswith(("//", "*", "/*"))]
-    size = sum(map(len, lines))
-    long_ = [x for x in lines if len(x) >= 300]
-    minified = bool(long_) and sum(map(len, long_)) > 0.5 * size and sum(x.count(" ") for x in long_) < 0.05 * size
-    return shingles, repetition, literal / max(1, len(text)), minified
+    every, minified = text.splitlines(), False
+    if every and max(map(len, every)) >= 300:
+        lines = [x for x in every if not x.lstrip().startswith(("//", "*", "/*"))]
+        long_ = [x for x in lines if len(x) >= 300]
+        minified = bool(long_) and sum(map(len, long_)) > 0.5 * sum(map(len, lines)) and sum(x.count(" ") for x in long_) < 0.05 * sum(map(len, long_))
+    return tokens, repetition, literal / max(1, len(text)), minified
 
 
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+#: Bits of a signature: one of each of so many MinHash values, of which the first BANDS * ROWS also make the bands.
+BITS = 256
+#: Signatures of sets with a similarity of 0.8 differ in 25.6 bits (standard deviation 4.8); beyond so many the sets are not compared.
+FAR = 48
+_SEEDS = mix(np.arange(1, 2 * BITS + 1, dtype=np.uint64)).astype(np.uint32)
+_FACTORS, _MASKS = (_SEEDS[:BITS] | np.uint32(1))[:, None], _SEEDS[BITS:, None]
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
+def minhash(shingles: np.ndarray) -> np.ndarray:
+    """The smallest values of BITS hash functions over a set."""
+    x = (mix(shingles) >> np.uint64(32)).astype(np.uint32)
+    low = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 4096):
+        low = np.minimum(low, ((x[None, at : at + 4096] * _FACTORS) ^ _MASKS).min(axis=1))
+    return low
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
     """One key a band: the MinHash values of its rows, and its number, hashed."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        low = np.minimum(low, mix(shingles[None, at : at + 4096] ^ _SEEDS[:, None]).min(axis=1))
-    rows = low.reshape(BANDS, ROWS)
+    rows = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for r in range(ROWS):
@@ -130,125 +193,160 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
-_SKETCH = "doc_id long, project string, same long, n_shingles int, repetition double, literal_share double, minified boolean, stated boolean, banner boolean, bands array<long>"
+def signature(low: np.ndarray) -> bytes:
+    """One bit of every MinHash value."""
+    return np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.bool_)).tobytes()
+
+
+_SKETCH = "doc_id long, project string, same long, n_shingles int, repetition double, literal_share double, minified boolean, stated boolean, banner boolean, bands array<long>, signature binary, tokens binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids = WordIds()
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
     for batch in batches:
         rows = []
         for key, project, text, ending in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            shingles, repetition, literal, minified = measures(text, ids)
+            tokens, repetition, literal, minified = measures(text)
+            shingles = shingles_of(tokens)
             if max(repetition, literal) >= 0.5 and fault(text, ending) == "written in another language":
                 repetition = literal = 0.0  # another language's statements and comments mislead these tokens
             head = head_comment(text)
-            same = xxhash.xxh64_intdigest(shingles.tobytes())
-            rows.append((key, project, same, len(shingles), repetition, literal, minified, bool(GENERATED_STATEMENT.search(head)), bool(VENDOR_BANNER.search(head)), band_keys(shingles).view(np.int64).tolist() if len(shingles) else []))
+            same = int(np.array(xxhash.xxh64_intdigest(shingles.tobytes()), np.uint64).view(np.int64))
+            low = minhash(shingles)
+            bands = band_keys(low).view(np.int64).tolist() if len(shingles) else []
+            rows.append((key, project, same, len(shingles), repetition, literal, minified, bool(GENERATED_STATEMENT.search(head)), bool(VENDOR_BANNER.search(head)), bands, signature(low), zlib.compress(tokens.tobytes(), 6)))
         if rows:
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
-            rows = [(r[0], r[1], r[2] - (1 << 64) if r[2] >= 1 << 63 else r[2], *r[3:]) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SKETCH.split(", ")])
 
 
 #: A band's crowd is compared in blocks of so many classes, so that two blocks fit into a task's memory.
-BLOCK = 2048
-#: Up to so many distinct shingles, sets travel as numbers in their sorted list instead of as hashes.
-CODED = 1_000_000
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids = WordIds()
-    for batch in batches:
-        sets = [_shingles(ids(masked_tokens(t)[0])) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["rep", "shingles"])
-
-
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch.column(0).flatten().to_numpy()))], ["shingle"])
-
-
-def _packed(known: np.ndarray | None):
-    """Sets as bytes: the gaps between their numbers in `known`, or the hashes where that is None."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.array(x, np.int64) for x in batch.column(1).to_pylist()]
-            if known is not None:
-                sets = [np.diff(np.sort(np.searchsorted(known, x)), prepend=0).astype(np.uint32) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(x.tobytes(), 1) for x in sets], pa.binary())], ["rep", "packed"])
+BLOCK = 8192
+#: Cells of the table of sets and shingles that one comparison builds.
+_CELLS = 1 << 27
+
+
+class _Sets:
+    """Sets of shingles by row, their elements numbered as they come."""
+
+    def __init__(self, set_of: Callable[[int], np.ndarray]):
+        self._of, self._codes = set_of, {}
+        self._known, self._ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, rows: np.ndarray) -> None:
+        new = [r for r in rows.tolist() if r not in self._codes]
+        if not new:
+            return
+        sets = [self._of(r) for r in new]
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        fresh = np.setdiff1d(values, self._known, assume_unique=True)
+        ids = np.concatenate([self._ids, np.arange(len(self._known), len(self._known) + len(fresh))])
+        known = np.concatenate([self._known, fresh])
+        order = np.argsort(known)
+        self._known, self._ids = known[order], ids[order]
+        codes = self._ids[np.searchsorted(self._known, values)][at]
+        self._codes |= zip(new, np.split(codes, np.cumsum([len(x) for x in sets])[:-1]), strict=True)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the sets of rows a[i] and b[i], which were added."""
+        used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        width = -(-len(self._known) // 64) * 64
+        if len(used) * width > _CELLS and len(a) > 1:
+            h = len(a) // 2
+            return np.concatenate([self.common(a[:h], b[:h]), self.common(a[h:], b[h:])])
+        held = [self._codes[r] for r in used.tolist()]
+        flags = np.zeros((len(used), width), np.bool_)
+        flags[np.repeat(np.arange(len(used)), [len(x) for x in held]), np.concatenate(held)] = True
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        out = np.empty(len(a), np.int64)
+        for i in range(0, len(a), 8192):
+            j = i + 8192
+            out[i:j] = np.bitwise_count(bits[at[: len(a)][i:j]] & bits[at[len(a) :][i:j]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def links_within(groups: np.ndarray, reps: np.ndarray, parts: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, set_of: Callable[[int], np.ndarray], batch: int = 200_000) -> list[tuple[int, int]]:
+    """Links (rep, rep) between similar sets of one group, enough to connect all that similar pairs connect.
+
+    Rows of equal group stand together; parts: equal numbers within a group are connected before.
+    signatures: rows of uint64; set_of(row) gives a row's set. Every pair whose sizes allow the similarity and
+    whose signatures are near is compared exactly, unless its ends are connected by then, so a
+    group of sets that are all alike gives one link less than it has sets.
+    """
+    order = np.lexsort((sizes, groups))
+    groups, reps, parts, sizes, signatures = groups[order], reps[order], parts[order], sizes[order].astype(np.int64), signatures[order]
+    n, links, sets = len(reps), [], _Sets(lambda row: set_of(order[row]))
+    # In a group rows ascend by size: those that may be similar to a row stand right behind it.
+    _, number = np.unique(groups, return_inverse=True)
+    start = np.searchsorted(number, np.arange(number[-1] + 2)) if n else np.zeros(1, np.int64)
+    key = number.astype(np.int64) << 40 | sizes
+    reach = np.searchsorted(key, number.astype(np.int64) << 40 | (sizes / SIMILAR + 1e-9).astype(np.int64), side="right") - 1 - np.arange(n)
+    _, label = np.unique(np.stack([number, parts]), axis=1, return_inverse=True)
+    label = label.reshape(-1)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        new = label[a] != label[b]
+        a, b = a[new], b[new]
+        if not len(a):
+            return
+        sets.add(np.unique(np.concatenate([a, b])))
+        common = sets.common(a, b)
+        near = common >= SIMILAR * (sizes[a] + sizes[b] - common)
+        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            if label[x] != label[y]:
+                links.append((int(reps[x]), int(reps[y])))
+                own = slice(start[number[x]], start[number[x] + 1])
+                label[own][label[own] == label[y]] = label[x]
+
+    k, active, held, size = 1, np.flatnonzero(reach >= 1), [], 0
+    while len(active):
+        b = active + k
+        near = (np.bitwise_count(signatures[active] ^ signatures[b]).sum(axis=1, dtype=np.int64) <= FAR) & (label[active] != label[b])
+        held.append((active[near], b[near]))
+        size += len(held[-1][0])
+        if size >= batch or k in (1, 8, 64):  # early rounds connect what is alike, which spares the later ones
+            compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [], 0
+        k += 1
+        active = active[reach[active] >= k]
+    if held:
+        compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    return links
 
-    return work
 
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, i, j, rep, part, n_shingles, signature, tokens) in the order of their groups; a group may go on in the next batch."""
 
-def links_within(reps: list[int], parts: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of similar sets that connect all sets which similar pairs connect, beside what parts connects already.
+    def out(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        tokens = t.column("tokens")
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        set_of = lambda row: shingles_of(np.frombuffer(zlib.decompress(tokens[int(row)].as_py()), np.uint8))
+        links = links_within(group, *(t.column(c).to_numpy() for c in ("rep", "part", "n_shingles")), sig, set_of)
+        pairs = np.array(sorted({(min(p), max(p)) for p in links}), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 
-    Each set is compared with every one not yet reached from it, so no similar pair is passed over
-    unless its ends are connected anyway. parts: equal numbers are connected before.
-    """
-    size = np.array([len(x) for x in sets])
-    known, at = np.unique(np.concatenate(sets), return_inverse=True)
-    flags = np.zeros((len(sets), -(-len(known) // 64) * 64), np.bool_)
-    flags[np.repeat(np.arange(len(sets)), size), at] = True
-    bits = np.packbits(flags, axis=1).view(np.uint64)
-    part = np.array(parts)
-    left, links = np.arange(len(sets)), []
-    while len(left):
-        own = part[left] == part[left[0]]
-        open_, left = left[own].tolist(), left[~own]
-        while open_ and len(left):
-            x = open_.pop()
-            common = np.bitwise_count(bits[left] & bits[x]).sum(axis=1, dtype=np.int64)
-            near = left[common >= SIMILAR * (size[left] + size[x] - common)]
-            if len(near):
-                links += [(reps[x], reps[y]) for y in near.tolist()]
-                reached = np.isin(part[left], part[near])
-                open_ += left[reached].tolist()
-                left = left[~reached]
-    return links
+    held: list[pa.Table] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.concat_tables([*held, pa.Table.from_batches([b])])
+        keys = np.stack([t.column(c).to_numpy() for c in ("band", "i", "j")])
+        new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield out(t.slice(0, last), np.cumsum(new)[:last])
+        held = [t.slice(last)]
+    if held:
+        yield out(held[0], np.zeros(held[0].num_rows, np.int64))
 
 
-def _links(coded: bool):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close():
-            if len(reps) > 1 and len(set(parts)) > 1:
-                raw = [zlib.decompress(x) for x in packed]
-                links = links_within(reps, parts, [np.cumsum(np.frombuffer(x, np.uint32), dtype=np.int64) if coded else np.frombuffer(x, np.int64) for x in raw])
-                found.update((min(p), max(p)) for p in links)
-
-        def out():
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
-
-        found: set[tuple[int, int]] = set()
-        group, reps, parts, packed = None, [], [], []
-        for batch in batches:
-            for *g, rep, part, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if g != group:
-                    close()
-                    group, reps, parts, packed = g, [], [], []
-                reps.append(rep)
-                parts.append(part)
-                packed.append(data)
-            if len(found) > 100_000:
-                yield out()
-        close()
-        if found:
-            yield out()
-
-    return work
-
-
-def _similar(met: DataFrame, sets: DataFrame, coded: bool) -> DataFrame:
-    """(x, y): links inside groups. met: band, i, j (the group), rep, part; sets: rep, packed."""
-    rows = met.join(sets, "rep").select("band", "i", "j", "rep", "part", "packed")
-    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInArrow(_links(coded), "x long, y long").distinct()
+def _similar(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y): links inside groups. met: band, i, j (the group), rep, part; sets: rep, n_shingles, signature, tokens."""
+    rows = met.join(sets, "rep").select("band", "i", "j", "rep", "part", "n_shingles", "signature", "tokens")
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep").mapInArrow(_links, "x long, y long").distinct()
 
 
 def file_families(files: DataFrame, scratch: Scratch) -> DataFrame:
-    """Sketches of source files with the family each belongs to, and the family's figures.
+    """Sketches of source files with the family each belongs to.
 
     files: doc_id, project, text, ending. Files with equal sets of masked shingles form one class;
     classes whose sets have a Jaccard similarity of SIMILAR or more are linked, and linked classes form a family.
@@ -265,17 +363,12 @@ def file_families(files: DataFrame, scratch: Scratch) -> DataFrame:
     crowds = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     met = scratch.keep(bands.join(crowds, "band").select("band", "rep", "head", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i")))
-    asked = scratch.keep(met.select(F.col("rep").alias("doc_id")).distinct())
-    hashes = scratch.keep(keyed(files, asked, ["doc_id"]).select("doc_id", "text").mapInArrow(_shingle_sets, "rep long, shingles array<long>"))
-    vocabulary = hashes.select("shingles").mapInArrow(_distinct, "shingle long").distinct().limit(CODED + 1)
-    known = np.sort(np.array([r[0] for r in vocabulary.collect()], np.int64))
-    coded = len(known) <= CODED
-    sets = scratch.keep(hashes.mapInArrow(_packed(known if coded else None), "rep long, packed binary"))
-    scratch.drop(hashes)
+    asked = met.select(F.col("rep").alias("doc_id")).distinct()
+    sets = scratch.keep(keyed(reps, scratch.keep(asked), ["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "signature", "tokens"))
     own = met.withColumn("j", F.col("i"))
     heads = met.where("blocks > 1").where("rep = head").select("band", "rep", "head", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "i").where("i <> j").select("band", F.col("rep"), F.col("j").alias("i"), "j")
     first = own.select("band", "i", "j", "rep").unionByName(heads).withColumn("part", F.col("rep"))
-    links = scratch.keep(_similar(first, sets, coded))
+    links = scratch.keep(_similar(first, sets))
     wide = met.where("blocks > 1")
     if wide.limit(1).count():
         root = _components(links, scratch)
@@ -283,15 +376,10 @@ def file_families(files: DataFrame, scratch: Scratch) -> DataFrame:
         split = parted.groupBy("band").agg((F.min("part") < F.max("part")).alias("split")).where("split").select("band")
         parted = parted.join(split, "band", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> k")
         across = parted.select("band", F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"), "rep", "part")
-        links = scratch.keep(links.unionByName(_similar(across, sets, coded)))
+        links = scratch.keep(links.unionByName(_similar(across, sets)))
     root = _components(links, scratch)
     member = classes.join(root, classes["rep"] == root["node"], "left").select("same", F.coalesce("family", "rep").alias("family"))
-    named = sketch.drop("bands").join(member, "same")
-    figures = named.groupBy("family").agg(
-        F.count(F.lit(1)).alias("family_files"), F.countDistinct("project").alias("family_projects"),
-        F.avg("repetition").alias("family_repetition"), F.avg("literal_share").alias("family_literals"), F.max("banner").alias("family_banner"),
-    )
-    return named.join(figures, "family")
+    return sketch.drop("bands", "signature", "tokens").join(member, "same")
 
 
 def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -311,22 +399,58 @@ def _components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(new)
 
 
+#: A family convicts a file if so large a share of at least two others of it shows the same.
+OF_FAMILY = 0.8
+
+
+def _verdicts(files: DataFrame) -> DataFrame:
+    """files with what their family says: by_generated, by_vendored, by_literal, and its figures.
+
+    files: family, project, generated, vendor (own evidence), repetition, literal_share. A file itself
+    is no witness in its own case. Within a repository a family counts for generation, across
+    repositories for vendoring, anywhere for literals.
+    """
+    own = lambda c: F.col(c).cast("long")
+    inside = files.groupBy("family", F.coalesce("project", F.lit("")).alias("_project")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(own("generated")).alias("_generated"), F.sum(own("vendor")).alias("_vendor"),
+        F.sum("repetition").alias("_repetition"), F.sum("literal_share").alias("_literal"),
+    )
+    whole = inside.groupBy("family").agg(
+        F.sum("_n").alias("family_files"), F.count(F.lit(1)).alias("family_projects"), F.sum("_vendor").alias("_all_vendor"),
+        F.sum("_repetition").alias("_all_repetition"), F.sum("_literal").alias("_all_literal"),
+    )
+    told = files.withColumn("_project", F.coalesce("project", F.lit(""))).join(inside.select("family", "_project", "_n", "_generated"), ["family", "_project"]).join(whole, "family")
+    most = lambda n, of: (of >= 2) & (n >= F.lit(OF_FAMILY) * of)
+    many = F.col("family_files") >= 3
+    generated = most(F.col("_generated") - own("generated"), F.col("_n") - 1) | many & (F.col("_all_repetition") / F.col("family_files") >= MECHANICAL)
+    vendored = (F.col("family_projects") > 1) & most(F.col("_all_vendor") - own("vendor"), F.col("family_files") - 1)
+    literal = many & (F.col("_all_literal") / F.col("family_files") >= LITERAL)
+    return told.withColumns({"by_generated": generated, "by_vendored": vendored, "by_literal": literal})
+
+
+#: Repetition from which a file is mechanical, and share of characters in literals from which it is data.
+MECHANICAL, LITERAL = 0.7, 0.5
+
+
 def classify_files(documents: DataFrame, options: DataFrame) -> DataFrame:
     """Why a source file was not written by hand in its project, one row per source file.
 
     documents: doc_id (unique), project_path, file_path, text; options: project_path,
     include_declaration_files, additional_excluded_patterns (regular expressions, searched anywhere in file_path).
     Columns: doc_id, stated (own statement, in the head comment, of being generated), build_place,
-    mechanical (masked tokens repeat throughout the file or its family), minified, vendored (banner, or a
+    mechanical (masked tokens repeat throughout the file), minified, vendored (banner, or a
     third-party folder directly below the project), literal_data, declaration (not
-    wanted by its project), excluded, the family figures, and hand_written: none of these.
+    wanted by its project), excluded, by_generated, by_vendored, by_literal (what the file's family says),
+    the family figures, and hand_written: none of these.
     NULL and empty texts are judged by their path alone; files without a project path have no place and no options.
 
     Method: comments are dropped and identifiers and literals masked, so files that one generator wrote
     give the same token shingles whatever names they hold. Equal sets form classes, MinHash bands propose pairs
-    of classes, exact Jaccard similarity verifies them. A family whose files repeat the same few
-    statements is generated, one made of literals is data. Repetition inside a file counts like a family of its own.
-    The size of a family, the sameness of its project and the banner of another file of it flag nothing: see README.
+    of classes, exact Jaccard similarity verifies them. A family then judges each of its files by the others: as
+    generated if most of the file's family in the same repository is, as a third-party copy if the family spans repositories
+    and most of it is one, as data if the family is made of literals. So a file is found whose own statement or
+    banner was lost. A file without a family is judged by its own evidence only. Families alone, without such evidence in
+    any member, convict nobody: see README.
     """
     scratch = Scratch(documents.sparkSession)
     ending = source_ending(F.col("file_path"))
@@ -341,11 +465,14 @@ def classify_files(documents: DataFrame, options: DataFrame) -> DataFrame:
         (F.col("file_path").rlike(r"\.d\.[mc]?ts$") & ~F.coalesce("wanted", F.lit(False))).alias("declaration"),
         F.coalesce(F.exists("patterns", lambda p: F.regexp_like(F.col("file_path"), p)), F.lit(False)).alias("excluded"),
     )
-    mechanical = F.greatest("repetition", F.when(F.col("family_files") >= 3, F.col("family_repetition")).otherwise(0.0)) >= 0.7
-    literal = F.greatest("literal_share", F.when(F.col("family_files") >= 3, F.col("family_literals")).otherwise(0.0)) >= 0.5
-    out = paths.join(families, "doc_id").select(
-        "doc_id", "stated", "build_place", mechanical.alias("mechanical"), "minified", (F.col("banner") | F.col("vendor_place")).alias("vendored"),
-        literal.alias("literal_data"), "declaration", "excluded", "family", "family_files", "family_projects",
+    files = paths.join(families, "doc_id").withColumns({
+        "generated": F.col("stated") | F.col("build_place") | (F.col("repetition") >= MECHANICAL),
+        "vendor": F.col("banner") | F.col("vendor_place"),
+    })
+    out = _verdicts(files).select(
+        "doc_id", "stated", "build_place", (F.col("repetition") >= MECHANICAL).alias("mechanical"), "minified", F.col("vendor").alias("vendored"),
+        (F.col("literal_share") >= LITERAL).alias("literal_data"), "declaration", "excluded",
+        "by_generated", "by_vendored", "by_literal", "family", "family_files", "family_projects",
     )
-    reasons = ("stated", "build_place", "mechanical", "minified", "vendored", "literal_data", "declaration", "excluded")
+    reasons = ("stated", "build_place", "mechanical", "minified", "vendored", "literal_data", "declaration", "excluded", "by_generated", "by_vendored", "by_literal")
     return out.withColumn("hand_written", ~F.greatest(*reasons))
