@@ -21,6 +21,8 @@ SHINGLE = 5
 #: MinHash bands and rows: at a similarity of 0.8 a pair meets in some band with probability 0.998.
 BANDS, ROWS = 20, 6
 SIMILAR = 0.8
+#: Repetition from which a file is mechanical, and share of characters in literals from which it is data.
+MECHANICAL, LITERAL = 0.7, 0.5
 
 #: Comments and strings; names, numbers and marks never begin inside them.
 _CUT = re.compile(
@@ -66,21 +68,24 @@ def _word_keys(b: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndar
 
 
 def _keyword_table() -> tuple[np.ndarray, np.ndarray]:
+    """For every first 16 bits of a word's number: the number and the token of the keyword that has them."""
     words = sorted(KEYWORDS)
     b = np.frombuffer(b"".join(w.encode().ljust(16, b"\0") for w in words), np.uint8)
     keys = _word_keys(b, np.arange(len(words)) * 16, np.array([len(w) for w in words]))
-    order = np.argsort(keys)
-    return keys[order], (order + 1).astype(np.uint8)
+    slot = (keys >> np.uint64(48)).astype(np.int64)
+    assert len(np.unique(slot)) == len(words)
+    table, codes = np.zeros(1 << 16, np.uint64), np.full(1 << 16, _NAME_CODE, np.uint8)
+    table[slot], codes[slot] = keys, np.arange(1, len(words) + 1)
+    return table, codes
 
 
 _KEYWORD_KEYS, _KEYWORD_CODES = _keyword_table()
+#: Characters of texts that are masked together.
+_TOGETHER = 1 << 18
 
 
-def masked_tokens(text: str) -> tuple[np.ndarray, int]:
-    """One byte a token, without comments, and the characters of literals.
-
-    Identifiers, numbers and strings become one byte each; keywords and ASCII marks keep theirs, other marks share one.
-    """
+def _plain(text: str) -> tuple[str, int]:
+    """A text with strings as one character, without comments and rare characters, and the characters of its strings."""
     literal = 0
 
     def cut(m: re.Match) -> str:
@@ -95,22 +100,47 @@ def masked_tokens(text: str) -> tuple[np.ndarray, int]:
         plain = re.sub(r"[^\S\x00-\x7f]", " ", plain)
         plain = re.sub(r"[^\W\x00-\x7f]", _OTHER_LETTER, plain)
         plain = re.sub(r"[^\x00-\x7f\xaa]", _OTHER_MARK, plain)
-    b = np.frombuffer(plain.encode("latin-1") + b" " * 8, np.uint8)
+    return plain, literal
+
+
+def masked_tokens(texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+    """For each text one byte a token, without comments, and the characters of literals.
+
+    Identifiers, numbers and strings become one byte each; keywords and ASCII marks keep theirs, other marks share one.
+    """
+    held: list[tuple[str, int]] = []
+    size = 0
+    for text in texts:
+        held.append(_plain(text))
+        size += len(held[-1][0])
+        if size > _TOGETHER:
+            yield from _masked(held)
+            held, size = [], 0
+    if held:
+        yield from _masked(held)
+
+
+def _masked(plain: list[tuple[str, int]]) -> Iterator[tuple[np.ndarray, int]]:
+    b = np.frombuffer("\n".join(x for x, _ in plain).encode("latin-1") + b" " * 8, np.uint8)
+    first = np.cumsum([0, *(len(x) + 1 for x, _ in plain)])
     kind = _KIND[b]
     dots = np.flatnonzero(b[1:-1] == 46) + 1
     dots = dots[(kind[dots - 1] == _DIGIT) & (kind[dots + 1] == _DIGIT)]
     word = kind > 0
     word[dots] = True  # the point of a number
-    edge = np.flatnonzero(np.diff(word, prepend=False))
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if word[0] else edge
     starts, length = edge[::2], edge[1::2] - edge[::2]
-    code = np.where(word, 0, _MARK[b])
-    if len(starts):
-        key = _word_keys(b, starts, length)
-        at = np.minimum(np.searchsorted(_KEYWORD_KEYS, key), len(_KEYWORD_KEYS) - 1)
-        number = kind[starts] == _DIGIT
-        code[starts] = np.where(number, _NUMBER_CODE, np.where(_KEYWORD_KEYS[at] == key, _KEYWORD_CODES[at], _NAME_CODE))
-        literal += int(length[number].sum())
-    return code[code > 0].astype(np.uint8), literal
+    code = np.where(word, 0, _MARK[b]).astype(np.uint8)
+    key = _word_keys(b, starts, length)
+    slot = (key >> np.uint64(48)).astype(np.int64)
+    number = kind[starts] == _DIGIT
+    code[starts] = np.where(number, _NUMBER_CODE, np.where(_KEYWORD_KEYS[slot] == key, _KEYWORD_CODES[slot], _NAME_CODE))
+    at = np.flatnonzero(code)
+    tokens, cuts = code[at], np.searchsorted(at, first)
+    digits = np.concatenate([[0], np.cumsum(length[number])])[np.searchsorted(starts[number], first)]
+    for i, (_, literal) in enumerate(plain):
+        yield tokens[cuts[i] : cuts[i + 1]], literal + int(digits[i + 1] - digits[i])
 
 
 def head_comment(text: str) -> str:
@@ -148,54 +178,57 @@ def shingles_of(tokens: np.ndarray) -> np.ndarray:
     return np.unique(_windows(tokens))
 
 
-def measures(text: str) -> tuple[np.ndarray, float, float, bool]:
-    """(masked tokens, repetition, literal share, minified) of a text.
-
-    repetition: share of ten-token windows that occurred before in the file; literal share: of the
-    characters; minified: most code in lines of 300 or more characters with hardly a blank.
-    """
-    tokens, literal = masked_tokens(text)
+def repetition_of(tokens: np.ndarray) -> float:
+    """Share of ten-token windows that occurred before in the file."""
+    if len(tokens) < 10:
+        return 0.0
     five = _windows(tokens)
-    wide = mix(five[: -5 or None]) + five[5:] if len(tokens) >= 10 else five[:0]
-    repetition = 1 - len(np.unique(wide)) / len(wide) if len(wide) else 0.0
-    every, minified = text.splitlines(), False
-    if every and max(map(len, every)) >= 300:
-        lines = [x for x in every if not x.lstrip().startswith(("//", "*", "/*"))]
-        long_ = [x for x in lines if len(x) >= 300]
-        minified = bool(long_) and sum(map(len, long_)) > 0.5 * sum(map(len, lines)) and sum(x.count(" ") for x in long_) < 0.05 * sum(map(len, long_))
-    return tokens, repetition, literal / max(1, len(text)), minified
+    wide = mix(five[:-5]) + five[5:]
+    return 1 - len(np.unique(wide)) / len(wide)
+
 
+def is_minified(text: str) -> bool:
+    """Whether most code is in lines of 300 or more characters with hardly a blank."""
+    every = text.splitlines()
+    if not every or max(map(len, every)) < 300:
+        return False
+    lines = [x for x in every if not x.lstrip().startswith(("//", "*", "/*"))]
+    long_ = [x for x in lines if len(x) >= 300]
+    return bool(long_) and sum(map(len, long_)) > 0.5 * sum(map(len, lines)) and sum(x.count(" ") for x in long_) < 0.05 * sum(map(len, long_))
 
-#: Bits of a signature: one of each of so many MinHash values, of which the first BANDS * ROWS also make the bands.
-BITS = 256
-#: Signatures of sets with a similarity of 0.8 differ in 25.6 bits (standard deviation 4.8); beyond so many the sets are not compared.
-FAR = 48
-_SEEDS = mix(np.arange(1, 2 * BITS + 1, dtype=np.uint64)).astype(np.uint32)
-_FACTORS, _MASKS = (_SEEDS[:BITS] | np.uint32(1))[:, None], _SEEDS[BITS:, None]
+
+#: MinHash values of a set, of which the first BANDS * ROWS make the bands. A signature has two bits of each.
+VALUES = 256
+#: Values whose bits differ, of sets with a similarity of 0.8, are 38.4 (standard deviation 5.7); with more than so many sets are not compared.
+APART = 64
+_SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64)).astype(np.uint32)
+_FACTORS, _MASKS = (_SEEDS[:VALUES] | np.uint32(1))[:, None], _SEEDS[VALUES:, None]
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
-    """The smallest values of BITS hash functions over a set."""
+    """The smallest values of VALUES hash functions over a set."""
     x = (mix(shingles) >> np.uint64(32)).astype(np.uint32)
-    low = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
+    low = np.full(VALUES, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(x), 4096):
         low = np.minimum(low, ((x[None, at : at + 4096] * _FACTORS) ^ _MASKS).min(axis=1))
     return low
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    """One key a band: the MinHash values of its rows, and its number, hashed."""
-    rows = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64)
+    """One key a band for each row of MinHash values: the band's values and its number, hashed."""
+    rows = low[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(low), axis=0)
     with np.errstate(over="ignore"):
         for r in range(ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
     return key
 
 
-def signature(low: np.ndarray) -> bytes:
-    """One bit of every MinHash value."""
-    return np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.bool_)).tobytes()
+def signatures(low: np.ndarray) -> np.ndarray:
+    """Two bits of every MinHash value, as two planes, for each row of values: rows of bytes."""
+    spread = low * np.uint32(0x9E3779B1)
+    planes = np.concatenate([spread >> np.uint32(31), (spread >> np.uint32(30)) & np.uint32(1)], axis=1)
+    return np.packbits(planes.astype(np.bool_), axis=1)
 
 
 _SKETCH = "doc_id long, project string, same long, n_shingles int, repetition double, literal_share double, minified boolean, stated boolean, banner boolean, bands array<long>, signature binary, tokens binary"
@@ -204,19 +237,23 @@ _SKETCH = "doc_id long, project string, same long, n_shingles int, repetition do
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
     for batch in batches:
-        rows = []
-        for key, project, text, ending in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            tokens, repetition, literal, minified = measures(text)
-            shingles = shingles_of(tokens)
-            if max(repetition, literal) >= 0.5 and fault(text, ending) == "written in another language":
-                repetition = literal = 0.0  # another language's statements and comments mislead these tokens
+        if not batch.num_rows:
+            continue
+        rows, low = [], []
+        texts = batch.column(2).to_pylist()
+        for key, project, text, ending, (tokens, literal) in zip(*(batch.column(i).to_pylist() for i in (0, 1)), texts, batch.column(3).to_pylist(), masked_tokens(texts), strict=True):
+            shingles, repetition, share = shingles_of(tokens), repetition_of(tokens), literal / max(1, len(text))
+            if (repetition >= MECHANICAL or share >= LITERAL) and fault(text, ending) == "written in another language":
+                repetition = share = 0.0  # another language's statements and comments mislead these tokens
             head = head_comment(text)
             same = int(np.array(xxhash.xxh64_intdigest(shingles.tobytes()), np.uint64).view(np.int64))
-            low = minhash(shingles)
-            bands = band_keys(low).view(np.int64).tolist() if len(shingles) else []
-            rows.append((key, project, same, len(shingles), repetition, literal, minified, bool(GENERATED_STATEMENT.search(head)), bool(VENDOR_BANNER.search(head)), bands, signature(low), zlib.compress(tokens.tobytes(), 6)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SKETCH.split(", ")])
+            low.append(minhash(shingles))
+            stated, banner = (bool(head and p.search(head)) for p in (GENERATED_STATEMENT, VENDOR_BANNER))
+            rows.append((key, project, same, len(shingles), repetition, share, is_minified(text), stated, banner, zlib.compress(tokens.tobytes(), 6)))
+        low = np.array(low)
+        *columns, packed = zip(*rows, strict=True)
+        arrays = [*columns, band_keys(low).view(np.int64).tolist(), [x.tobytes() for x in signatures(low)], packed]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(arrays, kinds, strict=True)], [x.split()[0] for x in _SKETCH.split(", ")])
 
 
 #: A band's crowd is compared in blocks of so many classes, so that two blocks fit into a task's memory.
@@ -264,16 +301,17 @@ class _Sets:
         return out
 
 
-def links_within(groups: np.ndarray, reps: np.ndarray, parts: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, set_of: Callable[[int], np.ndarray], batch: int = 200_000) -> list[tuple[int, int]]:
+def links_within(groups: np.ndarray, reps: np.ndarray, parts: np.ndarray, sizes: np.ndarray, planes: np.ndarray, set_of: Callable[[int], np.ndarray], batch: int = 200_000) -> list[tuple[int, int]]:
     """Links (rep, rep) between similar sets of one group, enough to connect all that similar pairs connect.
 
     Rows of equal group stand together; parts: equal numbers within a group are connected before.
-    signatures: rows of uint64; set_of(row) gives a row's set. Every pair whose sizes allow the similarity and
+    planes: signatures, rows of uint64; set_of(row) gives a row's set. Every pair whose sizes allow the similarity and
     whose signatures are near is compared exactly, unless its ends are connected by then, so a
     group of sets that are all alike gives one link less than it has sets.
     """
     order = np.lexsort((sizes, groups))
-    groups, reps, parts, sizes, signatures = groups[order], reps[order], parts[order], sizes[order].astype(np.int64), signatures[order]
+    groups, reps, parts, sizes, planes = groups[order], reps[order], parts[order], sizes[order].astype(np.int64), planes[order]
+    half = planes.shape[1] // 2
     n, links, sets = len(reps), [], _Sets(lambda row: set_of(order[row]))
     # In a group rows ascend by size: those that may be similar to a row stand right behind it.
     _, number = np.unique(groups, return_inverse=True)
@@ -300,7 +338,8 @@ def links_within(groups: np.ndarray, reps: np.ndarray, parts: np.ndarray, sizes:
     k, active, held, size = 1, np.flatnonzero(reach >= 1), [], 0
     while len(active):
         b = active + k
-        near = (np.bitwise_count(signatures[active] ^ signatures[b]).sum(axis=1, dtype=np.int64) <= FAR) & (label[active] != label[b])
+        differ = planes[active] ^ planes[b]
+        near = (np.bitwise_count(differ[:, :half] | differ[:, half:]).sum(axis=1, dtype=np.int64) <= APART) & (label[active] != label[b])
         held.append((active[near], b[near]))
         size += len(held[-1][0])
         if size >= batch or k in (1, 8, 64):  # early rounds connect what is alike, which spares the later ones
@@ -318,7 +357,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         tokens = t.column("tokens")
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint64).reshape(-1, VALUES // 32)
         set_of = lambda row: shingles_of(np.frombuffer(zlib.decompress(tokens[int(row)].as_py()), np.uint8))
         links = links_within(group, *(t.column(c).to_numpy() for c in ("rep", "part", "n_shingles")), sig, set_of)
         pairs = np.array(sorted({(min(p), max(p)) for p in links}), np.int64).reshape(-1, 2)
@@ -428,10 +467,6 @@ def _verdicts(files: DataFrame) -> DataFrame:
     return told.withColumns({"by_generated": generated, "by_vendored": vendored, "by_literal": literal})
 
 
-#: Repetition from which a file is mechanical, and share of characters in literals from which it is data.
-MECHANICAL, LITERAL = 0.7, 0.5
-
-
 def classify_files(documents: DataFrame, options: DataFrame) -> DataFrame:
     """Why a source file was not written by hand in its project, one row per source file.
 

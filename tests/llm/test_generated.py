@@ -66,8 +66,7 @@ def test_crowded_bands_lose_no_link(spark, monkeypatch):
 
 
 def _links(groups, parts, sets, **kw):
-    low = [generated.minhash(x.astype(np.uint64)) for x in sets]
-    sig = np.array([np.frombuffer(generated.signature(x), np.uint64) for x in low])
+    sig = generated.signatures(np.array([generated.minhash(x.astype(np.uint64)) for x in sets])).view(np.uint64)
     reps, sizes = np.arange(1, len(sets) + 1), np.array([len(x) for x in sets])
     return sorted((min(p), max(p)) for p in generated.links_within(np.array(groups), reps, np.array(parts), sizes, sig, lambda i: sets[i].astype(np.uint64), **kw))
 
@@ -130,12 +129,16 @@ def test_head_comment_has_no_length_limit():
 
 def test_shingles_have_five_tokens():
     marks = list("+-*()[]{}")
-    assert generated.SHINGLE == 5 and len(generated.shingles_of(generated.measures("".join(marks))[0])) == len(marks) - 4
-
-
-def test_masked_tokens():
-    same = lambda a, b: generated.masked_tokens(a)[0].tolist() == generated.masked_tokens(b)[0].tolist()
-    assert same("val a1 = foo(\"x\", 1.5) // c", "val b = größe('yy',2)/* d */") and not same("val a = 1", "var a = 1")
-    assert not same("a + b", "a - b") and same("$x.y", "z . w") and not same("constructor(a)", "constructs_(a)")
-    assert generated.masked_tokens("f(12.5, \"ab\")")[1] == 8
-    assert generated.masked_tokens("")[0].tolist() == [] and len(generated.shingles_of(generated.masked_tokens("a b")[0])) == 1
+    assert generated.SHINGLE == 5 and len(generated.shingles_of(next(generated.masked_tokens(["".join(marks)]))[0])) == len(marks) - 4
+
+
+def test_masked_tokens(monkeypatch):
+    for together in (1 << 18, 8):
+        monkeypatch.setattr(generated, "_TOGETHER", together)
+        one = lambda *t: [(x.tolist(), n) for x, n in generated.masked_tokens(list(t))]
+        same = lambda a, b: one(a, b)[0][0] == one(a, b)[1][0]
+        assert same("val a1 = foo(\"x\", 1.5) // c", "val b = größe('yy',2)/* d */") and not same("val a = 1", "var a = 1")
+        assert not same("a + b", "a - b") and same("$x.y", "z . w") and not same("constructor(a)", "constructs_(a)")
+        assert [n for _, n in one("f(12.5, \"ab\")", "", "7", "a", "\u00e9 8")] == [8, 0, 1, 0, 1]
+        assert one("", "a b", "") == [([], 0), one("x", "y")[0][:1] and (one("x y")[0][0], 0), ([], 0)]
+        assert len(generated.shingles_of(next(generated.masked_tokens(["a b"]))[0])) == 1
