@@ -98,7 +98,22 @@ def _runs(key: str, source: str) -> str:
     return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 14], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 13)) AS i FROM ({words}))"
 
 
+#: Windows of 400 characters that several documents hold, and the spans they cover.
+_WINDOWS = """h AS (SELECT doc_id, i, md5(substr(text, i, 400)) AS part FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
+ o AS (SELECT part, min(doc_id) AS first FROM h GROUP BY part HAVING min(doc_id) < max(doc_id)),"""
+
+
+def _spans(where: str) -> str:
+    return f"""{_WINDOWS} w AS (SELECT doc_id, i - 1 AS s, i + 399 AS e FROM h JOIN o USING (part) {where}),
+ m AS (SELECT *, CASE WHEN s <= lag(e) OVER (PARTITION BY doc_id ORDER BY s) THEN 0 ELSE 1 END AS new FROM w),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM m),
+ r AS (SELECT doc_id, min(s) AS start, max(e) AS "end" FROM g GROUP BY doc_id, g)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "p10_shared_parts": f"""WITH {_spans('')}, t AS (SELECT doc_id, sum("end" - start)::BIGINT AS n FROM r GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) ELSE 0.0 END AS share FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "p10_later_spans": f"WITH {_spans('WHERE doc_id > first')} SELECT * FROM r",
     "p8_found": f"SELECT DISTINCT d.doc_id, e.item_id FROM ({_runs('doc_id', 'documents')}) d JOIN ({_runs('item_id', 'eval_items')}) e ON d.run = e.run",
     "p10_found": """WITH h AS (SELECT DISTINCT doc_id, md5(substr(text, i, 400)) AS part FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400))
  SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM h a JOIN h b ON a.part = b.part AND a.doc_id < b.doc_id""",

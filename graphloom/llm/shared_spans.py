@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.textops import code_points, selected, window_hashes
+from graphloom.llm.textops import code_points, mix, selected, window_hashes
 from graphloom.session import Scratch, keyed
 
 #: Groups of more texts than this are not paired on a coarse digest but digested again more finely.
@@ -33,16 +33,8 @@ def _digests(span: int, length: int):
     return work
 
 
-def _runs(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
-    """Merged intervals [start, end) of windows that begin at the given positions."""
-    starts = np.sort(starts)
-    cut = np.flatnonzero(np.diff(starts) > span)
-    first, last = np.concatenate([starts[:1], starts[cut + 1]]), np.concatenate([starts[cut], starts[-1:]])
-    return [(int(a), int(b) + span) for a, b in zip(first, last, strict=True)]
-
-
 def _verify(span: int):
-    """The spans two texts share, from all windows of `span` characters, compared letter by letter."""
+    """Whether two texts share a span, from all windows of `span` characters, compared letter by letter."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, np.ndarray] = {}
@@ -58,19 +50,11 @@ def _verify(span: int):
             out = []
             for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 ha, hb = windows(a, ta), windows(b, tb)
-                in_a, in_b = np.flatnonzero(np.isin(ha, hb)), np.flatnonzero(np.isin(hb, ha))
-                if not len(in_a):
-                    continue
-                i = int(in_a[0])
-                if ta[i : i + span] in tb:  # the digests' word is not taken for it
-                    out.append({"rep_a": a, "rep_b": b, "spans_a": _runs(in_a, span), "spans_b": _runs(in_b, span)})
+                in_a = np.flatnonzero(np.isin(ha, hb))
+                if any(ta[i : i + span] in tb for i in in_a.tolist()):  # the digests' word is not taken for it
+                    out.append((a, b))
             if out:
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                pairs = lambda s: [[{"start": x, "end": y} for x, y in o[s]] for o in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o["rep_a"] for o in out]), pa.array([o["rep_b"] for o in out]), pa.array(pairs("spans_a"), kind), pa.array(pairs("spans_b"), kind)],
-                    ["rep_a", "rep_b", "spans_a", "spans_b"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["rep_a", "rep_b"])
 
     return work
 
@@ -90,11 +74,6 @@ class SharedSpans:
         within = copies.select("rep", F.col("doc_id").alias("x")).join(copies.select("rep", F.col("doc_id").alias("y")), "rep").where("x < y").select("x", "y")
         return between.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
-    def spans(self) -> DataFrame:
-        """(rep, start, end, earlier): spans of a representative found elsewhere; earlier: in a text with a smaller doc_id."""
-        a = self.pairs.select(F.col("rep_a").alias("rep"), F.inline("spans_a"), F.lit(False).alias("earlier"))
-        return a.unionByName(self.pairs.select(F.col("rep_b").alias("rep"), F.inline("spans_b"), F.lit(True).alias("earlier")))
-
 
 def shared_spans(documents: DataFrame, span: int = 400) -> SharedSpans:
     """Documents with an identical span of `span` or more characters (code points, blanks and line ends included).
@@ -108,7 +87,7 @@ def shared_spans(documents: DataFrame, span: int = 400) -> SharedSpans:
     grouped globally; a digest of one text only is dropped before any pairing. Groups of more than
     COARSE_GROUP texts, a block of text that very many share, are not paired: their texts are digested again with units of
     nearly the full span, so that texts meet only if they share that much. Pairs are verified
-    on all windows of `span` characters, which also gives the exact offsets.
+    on all windows of `span` characters. Listing pairs is this function's purpose; `shared_windows` finds the spans without.
     """
     scratch = Scratch(documents.sparkSession)
     # Two hashes, 96 bits, name a text.
@@ -120,11 +99,12 @@ def shared_spans(documents: DataFrame, span: int = 400) -> SharedSpans:
     members = named.join(classes, ["same", "same2"]).select("doc_id", "rep", "n")
 
     def digests(of: DataFrame, length: int) -> DataFrame:
-        """One row a digest and class: copies of a text add nothing. Partitioned by digest for all that follows."""
+        """One row a digest and class: copies of a text add nothing."""
         d = of.select("same", "same2", "text").mapInArrow(_digests(span, length), "same long, same2 int, digest long")
-        return d.repartition("digest").dropDuplicates(["digest", "same", "same2"])
+        return d.dropDuplicates(["digest", "same", "same2"])
 
-    coarse = digests(docs, span // 2)
+    # Spread by digest and text, so that a digest of very many texts fills no partition; its size is added up before the shuffle.
+    coarse = scratch.keep(digests(docs, span // 2))
     sizes = coarse.groupBy("digest").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     common = scratch.keep(coarse.join(sizes, "digest"))
     crowded = scratch.keep(common.where(F.col("g") > COARSE_GROUP).select("same", "same2").distinct())
@@ -142,11 +122,81 @@ def shared_spans(documents: DataFrame, span: int = 400) -> SharedSpans:
         .join(held.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
         .select("rep_a", "rep_b", "text_a", "text_b")
     )
-    kind = "array<struct<start:bigint,end:bigint>>"
-    found = scratch.keep(both.mapInArrow(_verify(span), f"rep_a long, rep_b long, spans_a {kind}, spans_b {kind}"))
+    found = scratch.keep(both.mapInArrow(_verify(span), "rep_a long, rep_b long"))
     return SharedSpans(members, found)
 
 
+def _units(span: int, length: int):
+    """Units of `length` characters with their places, at least one in every `span` characters of a text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, digests, places = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = window_hashes(code_points(text), length)
+                at = selected(h, span - length + 1)
+                keys.append(np.full(len(at), key, np.int64))
+                digests.append(h[at].view(np.int64))
+                places.append(at.astype(np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, digests, places)], ["doc_id", "digest", "place"])
+
+    return work
+
+
+def _windows(span: int, length: int):
+    """Two digests of every window of `span` characters that holds one of the given units."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                c = code_points(text)
+                h, h2 = window_hashes(c, span), window_hashes(mix(c + np.uint64(1 << 32)), span)
+                near = np.zeros(len(h) + 1, np.int32)
+                places = np.array(places)
+                np.add.at(near, np.clip(places - (span - length), 0, len(h)), 1)
+                np.add.at(near, np.clip(places + 1, 0, len(h)), -1)
+                at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array((h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                        ["doc_id", "start", "h", "h2"],
+                    )
+
+    return work
+
+
+def shared_windows(documents: DataFrame, span: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(members, windows): the windows of `span` characters that several texts hold.
+
+    members: doc_id, rep, n: the class of equal texts a document belongs to, its smallest doc_id and its size; only texts of
+    `span` or more characters. windows: doc_id (representatives only), start, earlier (a text with a smaller doc_id holds it too).
+
+    Method: unit hashing without any pairs. Units of span/2 characters, chosen by their content, are grouped
+    globally by digest; units of one text only are dropped. Every window that holds a unit left is
+    digested and grouped globally in the same way, with its earliest owner. Both groupings add up before they
+    shuffle and keep two numbers a digest, so a passage that very many texts hold costs no more than its length in each.
+    """
+    scratch, length = Scratch(documents.sparkSession), span // 2
+    docs = documents.where(F.col("doc_id").isNotNull() & (F.char_length("text") >= span)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = scratch.keep(docs.select("doc_id", F.xxhash64("text").alias("same"), F.hash("text").alias("same2")).distinct())
+    classes = scratch.keep(named.groupBy("same", "same2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    members = named.join(classes, ["same", "same2"]).select("doc_id", "rep", "n")
+    units = scratch.keep(keyed(docs.mapInArrow(_units(span, length), "doc_id long, digest long, place int"), classes.select(F.col("rep").alias("doc_id")), ["doc_id"]))
+    several = units.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest")
+    near = scratch.keep(units.join(several, "digest", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+    texts = keyed(docs, near.select("doc_id"), ["doc_id"]).dropDuplicates(["doc_id"]).join(near, "doc_id").select("doc_id", "text", "places")
+    windows = scratch.keep(texts.mapInArrow(_windows(span, length), "doc_id long, start int, h long, h2 int"))
+    owners = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "h2", "first")
+    found = windows.join(owners, ["h", "h2"]).select("doc_id", F.col("start").cast("long").alias("start"), (F.col("doc_id") > F.col("first")).alias("earlier"))
+    return members, found
+
+
+def _runs(windows: DataFrame, span: int) -> DataFrame:
+    """(doc_id, start, end): what windows cover, overlapping and touching ones joined."""
+    return merged(windows.select("doc_id", "start", (F.col("start") + span).alias("end")), "doc_id")
+
+
 def merged(spans: DataFrame, *key: str) -> DataFrame:
     """Overlapping and touching [start, end) of each key joined."""
     w = Window.partitionBy(*key).orderBy("start", "end")
@@ -160,9 +210,9 @@ def shared_parts(documents: DataFrame, span: int = 400) -> DataFrame:
 
     A NULL text has n_chars 0, and a text without characters share 0.
     """
-    s = shared_spans(documents, span)
-    parts = merged(s.spans().select("rep", "start", "end"), "rep").groupBy("rep").agg(F.sum(F.col("end") - F.col("start")).alias("shared"))
-    per = s.members.join(parts, "rep", "left").select("doc_id", F.when(F.col("n") > 1, F.lit(-1)).otherwise(F.coalesce("shared", F.lit(0))).alias("shared"))
+    members, windows = shared_windows(documents, span)
+    parts = _runs(windows, span).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("part"))
+    per = members.join(parts, "doc_id", "left").select("doc_id", F.when(F.col("n") > 1, F.lit(-1)).otherwise(F.coalesce("part", F.lit(0))).alias("shared"))
     n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
     out = documents.select("doc_id", n.alias("n_chars")).join(per, "doc_id", "left")
     shared = F.when(F.col("shared") == -1, F.col("n_chars")).otherwise(F.coalesce("shared", F.lit(0)))
@@ -171,7 +221,7 @@ def shared_parts(documents: DataFrame, span: int = 400) -> DataFrame:
 
 def later_spans(documents: DataFrame, span: int = 400) -> DataFrame:
     """(doc_id, start, end): spans, at their original offsets, that a document with a smaller doc_id holds too; removing them keeps the earliest occurrence."""
-    s = shared_spans(documents, span)
-    copies = s.members.where("doc_id <> rep").select("doc_id")
+    members, windows = shared_windows(documents, span)
+    copies = members.where("doc_id <> rep").select("doc_id")
     whole = documents.join(copies, "doc_id", "left_semi").select("doc_id", F.lit(0).cast("long").alias("start"), F.char_length("text").cast("long").alias("end"))
-    return whole.unionByName(merged(s.spans().where("earlier").select(F.col("rep").alias("doc_id"), "start", "end"), "doc_id"))
+    return whole.unionByName(_runs(windows.where("earlier"), span))

@@ -51,7 +51,57 @@ def test_shares_and_offsets(spark):
     assert rows(spans.later_spans(_docs(spark, texts)), "doc_id", "start", "end") == [(2, 0, 500), (3, 0, 500 + len(b))]
 
 
+def _covered(texts, span):
+    """(doc, start, end) of what other texts hold too, and of what texts with a smaller id hold, window by window."""
+    owners = {}
+    for i, t in texts:
+        for k in range(len(t or "") - span + 1):
+            owners.setdefault(t[k : k + span], set()).add(i)
+    out = ([], [])
+    for i, t in texts:
+        for part, held in zip(out, (lambda o: len(o) > 1, lambda o: min(o) < i), strict=True):  # noqa: B023
+            end = None
+            for k in range(len(t or "") - span + 1):
+                if held(owners[t[k : k + span]]):
+                    if end is None or k > end:
+                        part.append([i, k, k + span])
+                    part[-1][2] = end = k + span
+    return tuple(sorted(tuple(x) for x in p) for p in out)
+
+
+def test_covered_parts_against_brute_force(spark):
+    r = random.Random(12)
+    blocks = [_text(r, 60) for _ in range(3)]
+    texts = []
+    for i in range(40):
+        b = r.choice(blocks)
+        lo, n = r.randrange(60), r.choice([30, 59, 60, 61, 75, 140])
+        texts.append((i, _text(r, r.randrange(12)) + b[lo : lo + n] + r.choice(["", "|", b[5:90]]) + _text(r, r.randrange(9))))
+    texts += [(50, texts[3][1]), (51, blocks[0][:60] * 2), (52, None), (53, "x" * 200), (54, "x" * 90)]
+    every, later = _covered(texts, 60)
+    per = {}
+    for i, a, b in every:
+        per[i] = per.get(i, 0) + b - a
+    got = {i: n for i, _, n, _ in rows(spans.shared_parts(_docs(spark, texts), 60))}
+    assert got == {i: per.get(i, 0) for i, _ in texts} and len(per) > 20
+    assert rows(spans.later_spans(_docs(spark, texts), 60), "doc_id", "start", "end") == sorted(later, key=repr)
+
+
+def test_one_header_in_very_many_texts(spark):
+    """Windows grow with the texts, not with their pairs."""
+    r = random.Random(15)
+    header = _text(r, 90)[:600]
+    sizes = {}
+    for n in (250, 2000):
+        texts = [(i, header + chr(0x4E00 + i) + _text(r, 20)) for i in range(n)]
+        members, windows = spans.shared_windows(_docs(spark, texts))
+        sizes[n] = windows.count()
+        assert members.count() == n and sizes[n] == 201 * n
+    assert spans.later_spans(_docs(spark, texts)).where("start = 0 and end = 600").count() == 1999
+
+
 def test_no_documents(spark):
+    assert spans.shared_parts(_docs(spark, [])).count() == spans.later_spans(_docs(spark, [])).count() == 0
     assert spans.shared_spans(_docs(spark, [])).document_pairs().count() == 0
     assert leaked_passages(_docs(spark, []), _docs(spark, [], "item_id")).count() == 0
 
