@@ -37,17 +37,20 @@ def _signatures(id_column: str, run: int):
 
 
 def _verify(run: int):
-    """Which of the candidate items' runs a document holds, word by word."""
+    """Which of the candidate items' runs a document holds: shingle sets of whole runs by their hashes, then word by word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
         for batch in batches:
             doc, item = [], []
             for key, text, items, passages in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 w = words_of(text or "")
-                held = {tuple(w[i : i + run]) for i in range(len(w) - run + 1)}
+                held = window_hashes(ids(w), run)
                 for i, passage in zip(items, passages, strict=True):
                     p = words_of(passage)
-                    if any(tuple(p[j : j + run]) in held for j in range(len(p) - run + 1)):
+                    asked = window_hashes(ids(p), run)
+                    _, at, there = np.intersect1d(held, asked, return_indices=True)
+                    if any(w[x : x + run] == p[y : y + run] for x, y in zip(at.tolist(), there.tolist(), strict=True)):
                         doc.append(key)
                         item.append(i)
             if doc:

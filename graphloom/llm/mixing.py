@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources up to this number are planned on the driver; the table of targets is small by nature.
-MAX_SOURCES = 100_000
+from graphloom.session import Scratch
 
+#: A source is cut into so many parts by hash; the cut of its last repetition falls into one of them, which alone is sorted.
+PARTS = 1 << 14
 
-def _token_counts(vocabulary: str):
+
+def _token_counts(vocabulary: Broadcast):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import public_tokenizers
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.value.splitlines() if line.strip())}
         coder = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             n = [len(coder.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
@@ -30,49 +34,88 @@ def _token_counts(vocabulary: str):
 
 
 def token_sizes(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, source, tokens): tokens of every text in a public byte-level vocabulary (a .tiktoken file).
+    """(doc_id, source, tokens): tokens of every text in a public byte-level vocabulary (a .tiktoken file of the driver, of about a megabyte, which is broadcast).
 
     source is trimmed and lower-cased; NULL and empty texts have 0 tokens.
     """
     name = F.lower(F.btrim("source", F.lit(" \t\r\n")))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("source"), "text")
-    return rows.mapInArrow(_token_counts(vocabulary), "doc_id long, source string, tokens long")
+    ranks = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    return rows.mapInArrow(_token_counts(ranks), "doc_id long, source string, tokens long")
 
 
-def exact_total(sizes: dict[str, int], targets: dict[str, tuple[float, int]]) -> float:
+def exact_total(sources: DataFrame) -> float:
     """The largest total at which every source that holds tokens meets its share within its repetitions.
 
-    Shares of sources that are absent go to the others in proportion.
+    sources: target_share, cap. Shares of sources that are absent go to the others in proportion.
     """
-    held = {s: (w, sizes[s] * max(0, r)) for s, (w, r) in targets.items() if w > 0 and sizes.get(s, 0) * max(0, r) > 0}
-    weight = sum(w for w, _ in held.values())
-    return min((cap * weight / w for w, cap in held.values()), default=0.0)
+    held = sources.where("target_share > 0 and cap > 0")
+    r = held.agg(F.sum("target_share").alias("weight"), F.min(F.col("cap") / F.col("target_share")).alias("least")).first()
+    return (r.weight or 0.0) * (r.least or 0.0)
 
 
-def water_filling(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Tokens to take from each source: the largest mixture in target proportions, with repeats capped.
+def water_level(sources: DataFrame, total: float) -> float:
+    """Tokens a unit of share gives in the capped mixture of `total` tokens: a source gives the least of its cap and level * share.
 
-    sizes: tokens a source holds; targets: source -> (share, most repetitions); total: tokens
-    aimed at, by default the sum of all tokens of the target sources. A source whose share asks for more than it
-    may give (size * repeats) is clamped there and what it lacks goes to the others in proportion to
+    sources: target_share, cap. Each round clamps the sources that ask for more than their cap and spreads
+    what they lack over the others in proportion to their shares; it is one aggregation, whose two sums come to the
+    driver. Levels only rise, so the rounds end when no further source is clamped; infinite if all are.
+    """
+    open_ = sources.where("target_share > 0")
+    level, clamped = 0.0, -1
+    while True:
+        full = F.col("cap") < F.col("target_share") * F.lit(level)
+        r = open_.agg(
+            F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("given"),
+            F.coalesce(F.sum(F.when(~full, F.col("target_share"))), F.lit(0.0)).alias("weight"), F.count_if(full).alias("n"),
+        ).first()
+        if r.n == clamped or r.weight <= 0:
+            return level if r.weight > 0 else math.inf
+        level, clamped = max(0.0, total - r.given) / r.weight, r.n
+
+
+def water_filling(sources: DataFrame, total: float | str | None = None) -> DataFrame:
+    """sources with planned_tokens and epochs: the largest mixture in target proportions, with repeats capped.
+
+    sources: source, target_share, max_repeats, available_tokens; total: tokens
+    aimed at, by default the sum of all available tokens; "exact": `exact_total`. A source whose share asks for more than it
+    may give (available * repeats) is clamped there and what it lacks goes to the others in proportion to
     their shares, until no source asks for too much or all are clamped.
     """
-    total = float(sum(sizes.get(s, 0) for s in targets)) if total is None else float(total)
-    cap = {s: float(sizes.get(s, 0) * max(0, r)) for s, (_, r) in targets.items()}
-    take: dict[str, float] = {s: 0.0 for s, (w, _) in targets.items() if w <= 0}
-    open_ = {s: w for s, (w, _) in targets.items() if w > 0}
-    left = total
-    while open_:
-        weight = sum(open_.values())
-        over = [s for s, w in open_.items() if left * w / weight > cap[s]]
-        if not over:
-            take |= {s: left * w / weight for s, w in open_.items()}
-            break
-        for s in sorted(over):
-            take[s] = cap[s]
-            left -= cap[s]
-            del open_[s]
-    return take
+    cap = (F.col("available_tokens") * F.greatest("max_repeats", F.lit(0))).cast("double")
+    s = sources.withColumn("cap", cap)
+    if total == "exact":
+        total = exact_total(s)
+    elif total is None:
+        total = float(s.agg(F.sum("available_tokens")).first()[0] or 0)
+    level = water_level(s, float(total))
+    asked = F.col("cap") if math.isinf(level) else F.least(F.col("cap"), F.col("target_share") * F.lit(level))
+    planned = F.when(F.col("target_share") > 0, asked).otherwise(F.lit(0.0))
+    epochs = F.coalesce(F.try_divide("planned_tokens", "available_tokens"), F.lit(0.0))
+    return s.withColumn("planned_tokens", planned).withColumn("epochs", epochs).drop("cap")
+
+
+def _last_repetition(sizes: DataFrame, planned: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, source, tokens, repeats, more): documents of planned sources with their whole repetitions, and whether they are in the last one.
+
+    The documents of a source stand in the order of their hash; the last repetition takes them from the front until the planned
+    tokens are reached, so at most one document is in doubt, which is taken if it comes nearer. Sums by part
+    of the hash's range tell in which part the cut falls; only the documents in that part are put in order.
+    """
+    whole = F.floor("epochs").cast("int")
+    rest = F.col("planned_tokens") - whole * F.col("available_tokens")
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.lit("mix"), "doc_id"), F.lit(1 << 40))
+    d = sizes.join(planned.select("source", whole.alias("whole"), rest.alias("rest")), "source").withColumn("chance", chance)
+    d = scratch.keep(d.withColumn("part", F.floor(F.col("chance") / F.lit((1 << 40) // PARTS)).cast("int")))
+    parts = d.groupBy("source", "part").agg(F.sum("tokens").alias("held"), F.first("rest").alias("rest"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = scratch.keep(parts.withColumn("before", before).select("source", "part", "before", (F.col("before") + F.col("held") <= F.col("rest")).alias("in"), (F.col("before") >= F.col("rest")).alias("out")))
+    cut = d.join(parts.where("not `in` and not out").select("source", "part", "before"), ["source", "part"])
+    so_far = F.coalesce(F.sum("tokens").over(Window.partitionBy("source", "part").orderBy("chance", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.col("before") + so_far + F.col("tokens") / 2 <= F.col("rest")
+    columns = ["doc_id", "source", "tokens"]
+    sure = d.join(parts.where("`in` or out").select("source", "part", "in"), ["source", "part"]).select(*columns, "whole", F.col("in").alias("more"))
+    return sure.unionByName(cut.select(*columns, "whole", more.alias("more")))
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 42, total: float | str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -86,30 +129,21 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str, seed:
     total: tokens aimed at; None: as many as the target sources hold, so that small sources reach
     their most repetitions and miss their share; "exact": the most at which none does (`exact_total`).
 
-    Method: capped water-filling on the tokens per source, a table as small as the targets. Each
-    source then gives floor(epochs) whole repetitions and a seeded fraction of one more: a
-    document is in it if the hash of seed and doc_id lies below the fraction. The sampling is decided row by row, so it needs no shuffle and
-    comes out the same however the rows are spread; the report shows the shares that resulted.
+    Method: capped water-filling on the tokens per source, as rounds of aggregations over the table of sources. Each
+    source then gives floor(epochs) whole repetitions and a seeded part of one more, cut where the planned tokens are
+    reached (`_last_repetition`), so what is selected differs from the plan by half a document a source at most. The result
+    depends on seed and doc_id only, not on how the rows are spread.
     """
-    from graphloom.session import Scratch
-
-    spark = documents.sparkSession
-    sizes = Scratch(spark).keep(token_sizes(documents, vocabulary))
+    scratch = Scratch(documents.sparkSession)
+    sizes = scratch.keep(token_sizes(documents, vocabulary))
     wanted = targets.select(F.lower(F.btrim("source", F.lit(" \t\r\n"))).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
     wanted = wanted.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    have = wanted.join(sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left").limit(MAX_SOURCES + 1).collect()
-    if len(have) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
-    tokens, aims = {r.source: r.tokens or 0 for r in have}, {r.source: (r.target_share, r.max_repeats) for r in have}
-    plan = water_filling(tokens, aims, exact_total(tokens, aims) if total == "exact" else total)
-    rows = [(r.source, float(r.target_share), int(r.tokens or 0), float(plan[r.source]), plan[r.source] / r.tokens if r.tokens else 0.0) for r in have]
-    planned = spark.createDataFrame(rows, "source string, target_share double, available_tokens long, planned_tokens double, epochs double")
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.lit("mix"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    repeats = (F.floor("epochs") + (chance < F.col("epochs") - F.floor("epochs")).cast("long")).cast("int")
-    selection = sizes.join(F.broadcast(planned.select("source", "epochs")), "source").withColumn("repeats", repeats).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
+    held = sizes.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
+    sources = scratch.keep(wanted.join(held, "source", "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0))))
+    planned = scratch.keep(water_filling(sources, total))
+    taken = _last_repetition(sizes, planned, seed, scratch)
+    selection = taken.select("doc_id", "source", "tokens", (F.col("whole") + F.col("more").cast("int")).alias("repeats")).where("repeats > 0")
     got = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("selected_tokens"))
     report = planned.join(got, "source", "left").withColumn("selected_tokens", F.coalesce("selected_tokens", F.lit(0)))
-    total = got.agg(F.sum("selected_tokens")).scalar()
-    share = F.coalesce(F.try_divide(F.col("selected_tokens"), total), F.lit(0.0))
-    report = report.select("source", "target_share", "available_tokens", "planned_tokens", "selected_tokens", share.alias("actual_share"), "epochs")
-    return selection, report
+    share = F.coalesce(F.try_divide(F.col("selected_tokens"), got.agg(F.sum("selected_tokens")).scalar()), F.lit(0.0))
+    return selection, report.select("source", "target_share", "available_tokens", "planned_tokens", "selected_tokens", share.alias("actual_share"), "epochs")
