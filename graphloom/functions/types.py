@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Type names that never name a node of the graph.
+# Type names that never name a node of the graph.
 BUILT_IN_TYPES = (
-    "Any Array Boolean Byte Char CharSequence Collection Comparable Date Double Duration Error Exception File Float Function Instant Int Integer "
-    "Iterable Iterator List LocalDate LocalDateTime Long Map Mutable MutableList MutableMap MutableSet Nothing Number Object Optional Pair Path Promise "
-    "Record Regex RegExp Result Sequence Set Short String Throwable Triple UUID Unit URI URL Void BigDecimal BigInteger ByteArray IntArray LongArray "
-    "ReadonlyArray Partial Required Readonly Pick Omit Symbol Stream Supplier Consumer Predicate Runnable Callable Future CompletableFuture Class Enum Unknown"
-).split()
+    # Kotlin
+    "Unit", "Nothing", "Any", "Boolean", "Byte", "Short", "Int", "Long", "Float", "Double", "Char", "String", "Array", "List", "Set", "Map",
+    "Collection", "Iterable", "Sequence", "Pair", "Triple", "Result", "Comparable", "Number", "Enum", "Object", "Throwable", "Exception",
+    "Error", "RuntimeException",
+    # TypeScript: primitive types
+    "Void", "Never", "Unknown", "Undefined", "Null", "BigInt", "Symbol",
+    # TypeScript: utility types
+    "Partial", "Required", "Readonly", "Record", "Pick", "Omit", "Exclude", "Extract", "NonNullable", "Parameters", "ReturnType",
+    "ConstructorParameters", "InstanceType", "ThisParameterType", "OmitThisParameter", "ThisType", "Awaited", "Uppercase", "Lowercase",
+    "Capitalize", "Uncapitalize", "NoInfer",
+    # TypeScript: built-in objects
+    "Promise", "ArrayLike", "Iterator", "IterableIterator", "AsyncIterator", "AsyncIterableIterator", "Generator", "AsyncGenerator",
+    "ReadonlyArray", "ReadonlyMap", "ReadonlySet", "WeakMap", "WeakSet", "WeakRef", "Function", "Date", "RegExp", "JSON", "Math", "Proxy",
+    "Reflect", "ArrayBuffer", "SharedArrayBuffer", "DataView", "Int8Array", "Uint8Array", "Uint8ClampedArray", "Int16Array", "Uint16Array",
+    "Int32Array", "Uint32Array", "Float32Array", "Float64Array", "BigInt64Array", "BigUint64Array",
+    # Documents and the network
+    "HTMLElement", "HTMLDivElement", "HTMLInputElement", "HTMLButtonElement", "HTMLFormElement", "HTMLAnchorElement", "HTMLImageElement",
+    "HTMLSpanElement", "HTMLParagraphElement", "Element", "Node", "NodeList", "Document", "Window", "Event", "MouseEvent", "KeyboardEvent",
+    "CustomEvent", "EventTarget", "Response", "Request", "Headers", "URL", "URLSearchParams", "FormData", "Blob", "File", "FileReader",
+    "AbortController", "AbortSignal",
+)
 
 
 def type_names(text: Column) -> Column:
@@ -32,31 +48,63 @@ def base_type(text: Column) -> Column:
     return F.regexp_replace(F.btrim(F.substring_index(text, "<", 1)), r"\?\z", "")
 
 
-#: Argument type -> parameter types it may stand for without being equal.
-COMPATIBLE = {
-    "Byte": ["Short", "Int", "Long", "Float", "Double", "Number"], "Short": ["Int", "Long", "Float", "Double", "Number"],
-    "Int": ["Long", "Float", "Double", "Number"], "Long": ["Float", "Double", "Number"], "Float": ["Double", "Number"], "Double": ["Number"],
-    "Char": ["String"], "String": ["CharSequence", "Comparable"], "Collection": ["Iterable", "List", "Set"], "List": ["Collection", "Iterable"], "Set": ["Collection", "Iterable"],
-}
+# Number type of Kotlin -> the types it widens to.
+WIDENS_TO = {
+    "Byte": ["Short", "Int", "Long", "Float", "Double", "Number"],
+    "Short": ["Int", "Long", "Float", "Double", "Number"],
+    "Int": ["Long", "Float", "Double", "Number"],
+    "Long": ["Float", "Double", "Number"],
+    "Float": ["Double", "Number"],
+    "Double": ["Number"],
+}
+# Type of TypeScript -> other types it may be assigned to, beside `any` and `unknown`.
+ASSIGNABLE_TO = {
+    "void": ["undefined"],
+    "undefined": ["void"],
+    "Array": ["ReadonlyArray"],
+}
+# Other types of Kotlin -> the types they may stand for.
+STANDS_FOR = {
+    "String": ["CharSequence"],
+    "Collection": ["Iterable"],
+}
+
+
+def _listed(table: dict[str, list[str]], a: Column, p: Column) -> Column:
+    found = [(a == k) & p.isin(v) for k, v in table.items()]
+    out = found[0]
+    for f in found[1:]:
+        out = out | f
+    return out
 
 
 def is_type_compatible(argument: Column, parameter: Column) -> Column:
-    """Whether a value of the argument's type may be passed for the parameter, beyond equal types; NULL counts as not."""
+    """Whether a value of the argument's type may be passed for the parameter.
+
+    A type that begins with a small letter is one of TypeScript: then only that language's assignments count. NULL counts as not.
+    """
     a, p = base_type(argument), base_type(parameter)
-    table = F.create_map(*[F.lit(x) for k, v in COMPATIBLE.items() for x in (k, "|".join(["", *v, ""]))])
-    listed = F.coalesce(F.contains(F.element_at(table, a), F.concat(F.lit("|"), p, F.lit("|"))), F.lit(False))
-    return F.coalesce(p.isin("Any", "any", "unknown", "Object") | (a == "any") | (a == p) | listed, F.lit(False))
+    always = (a == p) | a.isin("any", "never", "Nothing") | p.isin("any", "unknown", "Any")
+    small = lambda c: F.substring(c, 1, 1) == F.lower(F.substring(c, 1, 1))
+    rule = F.when(small(a) | small(p), _listed(ASSIGNABLE_TO, a, p)).otherwise(_listed(WIDENS_TO, a, p) | _listed(STANDS_FOR, a, p))
+    return F.coalesce(always | rule, F.lit(False))
 
 
 def overload_score(arguments: Column, parameters: Column) -> Column:
     """Score of an overload for a call: +100 for an equal count, -1 for too many arguments, +50 for fewer; per argument
-    +50 equal, +25 compatible, -10 not, 0 unknown."""
+    +50 equal, +25 compatible, -10 not, 0 unknown or empty."""
     n, m = F.size(arguments), F.size(parameters)
     count = F.when(n == m, 100).when(n > m, -1).otherwise(50)
 
     def one(a: Column, p: Column) -> Column:
-        return F.when(a.isNull() | p.isNull() | (a == "Unknown"), 0).when(base_type(a) == base_type(p), 50).when(is_type_compatible(a, p), 25).otherwise(-10)
+        return F.when(a.isNull() | p.isNull() | a.isin("", "Unknown") | (p == ""), 0).when(base_type(a) == base_type(p), 50).when(is_type_compatible(a, p), 25).otherwise(-10)
 
     k = F.least(n, m)
     scores = F.zip_with(F.slice(arguments, F.lit(1), k), F.slice(parameters, F.lit(1), k), one)
     return (count + F.aggregate(scores, F.lit(0), lambda s, x: s + x)).cast("int")
+
+
+def build_fqn(*parts: Column) -> Column:
+    """Parts of a name joined by points, NULL and empty ones left out; NULL if nothing is left."""
+    kept = [F.nullif(p, F.lit("")) for p in parts]
+    return F.nullif(F.concat_ws(".", *kept), F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def _fields_of(text: Column, schema: str) -> Column:
     return F.coalesce(F.from_json(text, f"array<struct<{schema}>>"), slow)
 
 
-def _children(nodes: Column, fields: dict[str, str], single: set[str], schema: str) -> Column:
+def _children(nodes: Column, fields: dict[str, str], single: set[str], schema: str, named: Callable | None) -> Column:
     """The objects one level below an array of nodes, with the path of their parent attached."""
 
     def below(n: Column) -> Column:
@@ -38,7 +40,8 @@ def _children(nodes: Column, fields: dict[str, str], single: set[str], schema: s
             def child(j: Column, i: Column) -> Column:
                 at = F.when(h["single"], F.lit("")).otherwise(F.concat(F.lit("["), i.cast("string"), F.lit("]")))
                 path = F.concat(n["path"], F.lit("."), h["field"], at)
-                return F.struct(path.alias("path"), n["path"].alias("parent"), h["kind"].alias("kind"), j.alias("j"))
+                own = [F.concat_ws(".", n["names"], named(h["kind"], j, i)).alias("names"), n["names"].alias("owner")] if named else []
+                return F.struct(path.alias("path"), n["path"].alias("parent"), h["kind"].alias("kind"), *own, j.alias("j"))
 
             return F.transform(_fields_of(listed, schema), child)
 
@@ -72,6 +75,7 @@ def flatten_records(
     single: set[str] = frozenset(),
     root_kind: str = "body",
     attributes: dict[str, tuple[str, str]] | None = None,
+    named: Callable[[Column, Column, Column], Column] | None = None,
 ) -> FlatTables:
     """Flat tables of the objects nested in JSON text at any depth.
 
@@ -81,7 +85,8 @@ def flatten_records(
     a record of its own. fields: field -> kind of the objects in it; single: fields that hold one
     object, whose path has no index. Text that holds JSON stands for what it holds; NULL elements
     keep their index. attributes: column -> (field, Spark type) of every node; values that cannot
-    be cast are NULL.
+    be cast are NULL. named(kind, fields, index): a node's own name; with it every node has names, the names from the record's
+    first level down to it joined by points, and owner, the names of its parent (NULL below the record itself).
 
     Method: nested transform calls parse the fields of a level as text, attach the ancestor's path
     and the index to every child, flatten joins the arrays of a level, and one inline per target
@@ -92,22 +97,24 @@ def flatten_records(
     attributes = attributes or {}
     scratch = Scratch(records.sparkSession)
     newest = records.groupBy("record_id").agg(F.max(F.struct("version", "body")).alias("b")).select("record_id", F.col("b.body").alias("body"))
-    names = list(dict.fromkeys([*fields, *(f for f, _ in attributes.values())]))
-    schema = ",".join(f"`{n}`:string" for n in names)
+    schema = ",".join(f"`{n}`:string" for n in dict.fromkeys([*fields, *(f for f, _ in attributes.values())]))
     # As the only element of an array a body in quotes loses them, and one cut off or followed by more is no JSON.
     j = _fields_of(F.concat(F.lit("["), F.col("body"), F.lit("]")), schema)
-    root = F.array(F.struct(F.lit("$").alias("path"), F.lit("").alias("parent"), F.lit(root_kind).alias("kind"), "j"))
+    none = F.lit(None).cast("string")
+    names = [none.alias("names"), none.alias("owner")] if named else []
+    root = F.array(F.struct(F.lit("$").alias("path"), F.lit("").alias("parent"), F.lit(root_kind).alias("kind"), *names, "j"))
     frontier = newest.select("record_id", j.alias("a")).where("size(a) = 1").select("record_id", F.element_at("a", 1).alias("j")).where("j is not null").select("record_id", root.alias("open"))
 
     def bare(n: Column) -> Column:
         own = [n["j"][f].try_cast(kind).alias(a) for a, (f, kind) in attributes.items()]
-        return F.struct(n["path"].alias("path"), n["parent"].alias("parent"), n["kind"].alias("kind"), *own)
+        of = [n[c].alias(c) for c in ("names", "owner")] if named else []
+        return F.struct(n["path"].alias("path"), n["parent"].alias("parent"), n["kind"].alias("kind"), *of, *own)
 
     blocks = []
     while True:
         df = frontier.withColumnRenamed("open", "p0")
         for k in range(LEVELS):
-            df = df.withColumn(f"p{k + 1}", _children(F.col(f"p{k}"), fields, set(single), schema))
+            df = df.withColumn(f"p{k + 1}", _children(F.col(f"p{k}"), fields, set(single), schema, named))
         nodes = F.flatten(F.array(*[F.transform(f"p{k}", bare) for k in range(LEVELS)]))
         rest = F.col(f"p{LEVELS}")
         block = scratch.keep(df.select("record_id", nodes.alias("nodes"), F.when(F.size(rest) > 0, rest).alias("open")))

@@ -156,13 +156,53 @@ def _tree_sql(tree: str, where: str, parent: str) -> str:
   CASE WHEN list_contains(path[:-2], cur) THEN -1 ELSE depth END AS depth FROM {tree}_e)"""
 
 
+def _tree_ways(tree: str) -> str:
+    """Ways from the end of every node's walk, turned around; a walk into a loop goes on to the loop's smallest node."""
+    return f"""{tree}_z AS (SELECT r.tree, r.node_fqn, r.root_fqn, r.depth, r.node_fqn AS cur, [r.node_fqn] AS way FROM {tree}_r r
+  UNION ALL SELECT z.tree, z.node_fqn, z.root_fqn, z.depth, l.parent, list_prepend(l.parent, z.way) FROM {tree}_z z JOIN {tree}_l l ON l.node = z.cur WHERE z.cur <> z.root_fqn),
+ {tree}_y AS (SELECT tree, node_fqn, depth, way FROM {tree}_z WHERE cur = root_fqn)"""
+
+
 _TREES = f"""WITH RECURSIVE newest AS (SELECT fqn, kind, parent_fqn, super_class FROM symbols WHERE fqn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fqn ORDER BY ins_seq DESC) = 1),
  {_tree_sql('nesting', '', 'parent_fqn')}, {_tree_sql('inheritance', 'WHERE kind IN ' + _KINDS, 'super_class')}"""
 
+#: The way from the root to a node; on and below loops from the smallest node of the loop.
+_WAYS = f"""{_TREES}, {_tree_ways('nesting')}, {_tree_ways('inheritance')}, ways AS (SELECT * FROM nesting_y UNION ALL SELECT * FROM inheritance_y)"""
+
+_HOLDS = lambda x: f"CASE json_type({x}) WHEN 'VARCHAR' THEN TRY_CAST({x} ->> '$' AS JSON) ELSE {x} END"
+_FIELDS = ", ".join(f"('{f}', '{k}')" for f, k in BODY_FIELDS.items())
+
+
+def json_nodes(key: str) -> str:
+    """Tables of the objects nested in the newest body of every key."""
+    return f"""fields AS (SELECT * FROM (VALUES {_FIELDS}) v(field, k)),
+ newest AS (SELECT {key} AS record_id, body FROM class_bodies QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY indexed_at DESC NULLS LAST, body DESC NULLS LAST) = 1),
+ n AS (SELECT record_id, '$' AS path, '' AS parent, 'body' AS kind, j, NULL::VARCHAR AS names, NULL::VARCHAR AS owner FROM (SELECT record_id, {_HOLDS('b')} AS j FROM (SELECT record_id, TRY_CAST(body AS JSON) AS b FROM newest)) WHERE json_type(j) = 'OBJECT'
+  UNION ALL SELECT record_id, path || '.' || field || CASE WHEN field = 'companionObject' THEN '' ELSE '[' || (i - 1) || ']' END, path, k, e,
+   concat_ws('.', names, CASE k WHEN 'companion' THEN coalesce(e ->> '$.name', 'Companion') WHEN 'constructor' THEN '<init>' || CASE WHEN i > 1 THEN (i - 1)::VARCHAR ELSE '' END ELSE e ->> '$.name' END), names
+  FROM (SELECT *, {_HOLDS('l[i]')} AS e FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT record_id, path, names, field, k, CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN [v] END AS l
+   FROM (SELECT n.*, field, k, {_HOLDS("json_extract(j, '$.' || field)")} AS v FROM n, fields)))) WHERE json_type(e) = 'OBJECT')"""
+
+
+JSON_NODES = json_nodes("record_id")
+
+
+def _flat(kind: str, **attributes: str) -> str:
+    columns = ", ".join(f"j ->> '$.{f}' AS {a}" for a, f in attributes.items())
+    return f"WITH RECURSIVE {JSON_NODES} SELECT record_id, path AS node_path, parent AS parent_path, {columns} FROM n WHERE kind = '{kind}'"
+
+
 ORACLE_SQL = {
     "p2_found": f"{_ORPHANS} SELECT DISTINCT src_table, row_id, ref_field, key AS target_fqn FROM o",
     "p2_by_month": f"{_ORPHANS} SELECT src_table, ref_field, strftime(seen, '%Y-%m') AS month, count(*) AS n_orphans, count(DISTINCT key) AS n_targets FROM o GROUP BY ALL",
     "p3_found": f"WITH {_SIDES} SELECT side, function_name FROM s WHERE function_name IS NOT NULL GROUP BY ALL HAVING count(*) >= 0.01 * (SELECT count(*) FROM calls)",
     "p3_key_counts": f"WITH {_SIDES} SELECT side, function_name, count(*) AS n_rows, count(DISTINCT other) AS n_counterparts, count(DISTINCT file_path) AS n_files FROM s WHERE function_name IS NOT NULL GROUP BY ALL",
+    "p4_found": f"WITH RECURSIVE {JSON_NODES} SELECT record_id, path AS node_path, parent AS parent_path, kind FROM n",
+    "p4_classes": _flat("class", name="name", class_kind="kind", super_class="superClass", visibility="visibility"),
+    "p4_functions": _flat("function", name="name", return_type="returnType", visibility="visibility"),
+    "p4_properties": _flat("property", name="name", type="type", is_val="isVal", initializer="initializer").replace("j ->> '$.isVal'", "try_cast(j ->> '$.isVal' AS BOOLEAN)"),
+    "p4_parameters": _flat("parameter", name="name", type="type", default_value="defaultValue"),
     "p7_found": f"{_TREES} SELECT * FROM nesting_r UNION ALL SELECT * FROM inheritance_r",
+    "p7_paths": f"{_WAYS} SELECT tree, node_fqn, depth, array_to_string(way, ' > ') AS path FROM ways",
+    "p7_descendants": f"{_WAYS} SELECT tree, way[i] AS ancestor_fqn, node_fqn, (len(way) - i)::INTEGER AS distance, depth = -1 AS loop FROM (SELECT *, unnest(range(1, len(way))) AS i FROM ways)",
 }

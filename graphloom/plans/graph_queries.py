@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import function_name
 from graphloom.functions.types import package_of_fqn, type_names
-from graphloom.operators import domains, graph, resolve, traversal
+from graphloom.operators import domains, graph, traversal
 from graphloom.session import table
 from graphloom.sources import files
 
@@ -442,29 +441,7 @@ def domain_deps(spark: SparkSession, d: str) -> DataFrame:
     return domains.domain_dependencies(e, package_of_fqn(F.col("src")), package_of_fqn(F.col("dst")))
 
 
-# ---- resolution ----
-
-
-@query()
-def overload_best(spark: SparkSession, d: str) -> DataFrame:
-    """The best overload for every call whose name is indexed."""
-    return resolve.best_overloads(table(spark, d, "calls"), table(spark, d, "symbols"))
-
-
-@query()
-def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Where every call leads, by the first strategy that finds something."""
-    return resolve.resolve_calls(table(spark, d, "calls"), table(spark, d, "symbols"))
-
-
-@query()
-def resolution_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Calls, resolved calls and their rate by project."""
-    calls = table(spark, d, "calls")
-    done = resolve.resolve_calls(calls, table(spark, d, "symbols")).select("call_id", F.lit(1).alias("done"))
-    named = calls.where(function_name(F.col("callee_function_name")).isNotNull()).select("call_id", "project_path").distinct()
-    per = named.join(done, "call_id", "left").groupBy("project_path").agg(F.count(F.lit(1)).alias("total"), F.count("done").alias("resolved"))
-    return per.withColumn("rate", F.col("resolved") / F.col("total"))
+# ---- runs ----
 
 
 @query(r"SELECT project_path, run_id, started_at, parse_errors FROM (SELECT *, row_number() OVER (PARTITION BY project_path ORDER BY started_at DESC, run_id DESC) AS r FROM (SELECT DISTINCT project_path, run_id, started_at, parse_errors FROM index_runs WHERE success AND NOT dry_run)) WHERE r = 1")
