@@ -109,13 +109,14 @@ def _last_repetition(sizes: DataFrame, planned: DataFrame, seed: int, scratch: S
     d = scratch.keep(d.withColumn("part", F.floor(F.col("chance") / F.lit((1 << 40) // PARTS)).cast("int")))
     parts = d.groupBy("source", "part").agg(F.sum("tokens").alias("held"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = scratch.keep(parts.withColumn("before", before).select("source", "part", "before", (F.col("before") + F.col("held") <= F.col("rest")).alias("in"), (F.col("before") >= F.col("rest")).alias("out")))
-    cut = d.join(parts.where("not `in` and not out").select("source", "part", "before"), ["source", "part"])
+    over = parts.withColumn("before", before).where("before + held > rest")
+    cuts = scratch.keep(over.groupBy("source").agg(F.min("part").alias("cut"), F.min_by("before", "part").alias("before")))
+    d = d.join(cuts, "source", "left").withColumn("cut", F.coalesce("cut", F.lit(PARTS)))
     so_far = F.coalesce(F.sum("tokens").over(Window.partitionBy("source", "part").orderBy("chance", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     more = F.col("before") + so_far + F.col("tokens") / 2 <= F.col("rest")
-    columns = ["doc_id", "source", "tokens"]
-    sure = d.join(parts.where("`in` or out").select("source", "part", "in"), ["source", "part"]).select(*columns, "whole", F.col("in").alias("more"))
-    return sure.unionByName(cut.select(*columns, "whole", more.alias("more")))
+    columns = ["doc_id", "source", "tokens", "whole"]
+    sure = d.where("part <> cut").select(*columns, (F.col("part") < F.col("cut")).alias("more"))
+    return sure.unionByName(d.where("part = cut").select(*columns, more.alias("more")))
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 42, total: float | str | None = None) -> tuple[DataFrame, DataFrame]:
