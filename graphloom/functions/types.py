@@ -78,16 +78,20 @@ def _listed(table: dict[str, list[str]], a: Column, p: Column) -> Column:
     return out
 
 
+def compatible(a: Column, p: Column) -> Column:
+    """`is_type_compatible` of types without type arguments and closing `?`."""
+    always = (a == p) | a.isin("any", "never", "Nothing") | p.isin("any", "unknown", "Any")
+    small = lambda c: F.substring(c, 1, 1) == F.lower(F.substring(c, 1, 1))
+    rule = F.when(small(a) | small(p), _listed(ASSIGNABLE_TO, a, p)).otherwise(_listed(WIDENS_TO, a, p) | _listed(STANDS_FOR, a, p))
+    return F.coalesce(always | rule, F.lit(False))
+
+
 def is_type_compatible(argument: Column, parameter: Column) -> Column:
     """Whether a value of the argument's type may be passed for the parameter.
 
     A type that begins with a small letter is one of TypeScript: then only that language's assignments count. NULL counts as not.
     """
-    a, p = base_type(argument), base_type(parameter)
-    always = (a == p) | a.isin("any", "never", "Nothing") | p.isin("any", "unknown", "Any")
-    small = lambda c: F.substring(c, 1, 1) == F.lower(F.substring(c, 1, 1))
-    rule = F.when(small(a) | small(p), _listed(ASSIGNABLE_TO, a, p)).otherwise(_listed(WIDENS_TO, a, p) | _listed(STANDS_FOR, a, p))
-    return F.coalesce(always | rule, F.lit(False))
+    return compatible(base_type(argument), base_type(parameter))
 
 
 def overload_score(arguments: Column, parameters: Column) -> Column:
@@ -97,10 +101,12 @@ def overload_score(arguments: Column, parameters: Column) -> Column:
     count = F.when(n == m, 100).when(n > m, -1).otherwise(50)
 
     def one(a: Column, p: Column) -> Column:
-        return F.when(a.isNull() | p.isNull() | a.isin("", "Unknown") | (p == ""), 0).when(base_type(a) == base_type(p), 50).when(is_type_compatible(a, p), 25).otherwise(-10)
+        return F.when(a.isNull() | p.isNull(), 0).when(a == p, 50).when(compatible(a, p), 25).otherwise(-10)
 
     k = F.least(n, m)
-    scores = F.zip_with(F.slice(arguments, F.lit(1), k), F.slice(parameters, F.lit(1), k), one)
+    known = F.transform(F.slice(arguments, F.lit(1), k), lambda a: F.when(~a.isin("", "Unknown"), base_type(a)))
+    asked = F.transform(F.slice(parameters, F.lit(1), k), lambda p: F.when(p != "", base_type(p)))
+    scores = F.zip_with(known, asked, one)
     return (count + F.aggregate(scores, F.lit(0), lambda s, x: s + x)).cast("int")
 
 

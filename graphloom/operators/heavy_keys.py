@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import Scratch
+
 
 def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up each run of equal keys in a sorted partition; one state a key and batch."""
@@ -43,6 +45,7 @@ def key_states(rows: DataFrame, sides: dict[str, str], dims: dict[str, list[str]
         .groupBy("side", "key", "dim", "value").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("held", F.col("value").isNotNull().cast("long"))
     )
+    pairs = Scratch(spark).keep(pairs)  # the quantiles are sampled from what is written, not from a second run of the sums
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = pairs.repartitionByRange(parts, "side", "key", "dim", "value").sortWithinPartitions("side", "key", "dim", "value")
     states = spread.mapInArrow(_partial_states, "side string, key string, dim string, n long, n_held long")

@@ -18,8 +18,9 @@ def resolve_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
 
     Method: every node holds a pointer to an ancestor; each round joins the pointers with
     themselves and doubles the distance they reach, appending path segments. Nodes that have
-    reached their root take no part in later rounds, so a root with a third of all nodes below it
-    is never a join key. A round that resolves nothing more shows that the rest leads into loops:
+    reached their root take no part in later rounds, so a root is a join key for its own children only, in the first
+    two joins; the side that is looked up has one row a node, so Spark's skew join may split the other where a
+    root has very many. A round that resolves nothing more shows that the rest leads into loops:
     the nodes at 2^k are at depth 2^k or more, and a deeper tree would hold some at every depth.
     On the rest, smallest values are doubled in the same way until they agree with the value one jump
     ahead. Each round is written to the shared folder.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import function_name, reference_text
-from graphloom.functions.types import base_type, build_fqn, is_type_compatible, overload_score
+from graphloom.functions.types import base_type, build_fqn, compatible, overload_score
 from graphloom.session import Scratch
 
 TYPE_KINDS = ["class", "interface", "object", "enum", "annotation"]
@@ -124,11 +124,11 @@ def best_overloads(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def extension_functions(kinds: DataFrame, functions: DataFrame) -> DataFrame:
     """(name, rtype, args, to_fqn): the extension function for a receiver of type rtype: of that type, else of one it is compatible with, else any."""
-    ext = functions.where("is_extension").withColumn("on", reference_text(F.col("receiver_type")))
-    on = F.substring_index("on", ".", -1)
-    tier = F.when(on == F.substring_index(base_type(F.col("rtype")), ".", -1), 0).when(is_type_compatible(F.col("rtype"), on), 1).otherwise(2)
     keys = ["name", "rtype", "args"]
-    chosen = choose_overload(_scored(kinds.select(*keys).distinct(), ext).withColumn("tier", tier), [*keys, "tier"])
+    ext = functions.where("is_extension").withColumn("_on", F.substring_index(reference_text(F.col("receiver_type")), ".", -1))
+    asked = kinds.select(*keys).distinct().withColumn("_base", base_type(F.col("rtype")))
+    tier = F.when(F.col("_on") == F.substring_index("_base", ".", -1), 0).when(compatible(F.col("_base"), F.col("_on")), 1).otherwise(2)
+    chosen = choose_overload(_scored(asked, ext).withColumn("tier", tier), [*keys, "tier"])
     return chosen.groupBy(*keys).agg(F.min_by("p", "tier").alias("p")).select(*keys, F.col("p.fqn").alias("to_fqn"))
 
 

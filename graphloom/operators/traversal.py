@@ -13,19 +13,30 @@ from graphloom.session import Scratch
 def trails(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth): ends of all paths of 1..depth edges that use no edge twice; distinct.
 
-    edges: src, dst, one row a pair; starts: node. The path travels with the row as its edges,
-    since two paths with equal ends may go on differently. Starting from few nodes keeps every
-    join's left side small; the plan has one equality join a level and no loop on the driver.
+    edges: src, dst, one row a pair; starts: node. Only an edge on a cycle can be met again, so a path carries
+    only such edges with it: ways that differ in others are one row a level and node, however many there are.
     """
-    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    state = starts.select(F.col("node").alias("start"), "node", F.array().cast("array<struct<node:string,next:string>>").alias("path"))
+    one = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    if depth <= 2:  # only a loop of one edge is met again so soon
+        e = one.withColumn("again", (F.col("node") == F.col("next")) & F.lit(depth > 1))
+    else:
+        scratch = Scratch(edges.sparkSession)
+        near = least_depths(edges, starts, depth - 1).select("node").unionByName(starts.select("node")).distinct()
+        one = scratch.keep(one.join(near, "node", "left_semi"))
+        # Edges into a dead end or out of a beginning are on no cycle; taking them away bares others.
+        ring = one
+        for _ in range(2):
+            ring = ring.join(ring.select(F.col("next").alias("node")).distinct(), "node", "left_semi")
+            ring = scratch.keep(ring.join(ring.select(F.col("node").alias("next")).distinct(), "next", "left_semi").select("node", "next"))
+        e = scratch.keep(one.join(ring.withColumn("again", F.lit(True)), ["node", "next"], "left").withColumn("again", F.coalesce("again", F.lit(False))))
+    kind = "array<struct<node:string,next:string>>"
+    state = starts.select(F.col("node").alias("start"), "node", F.array().cast(kind).alias("path")).distinct()
     found = []
     for d in range(1, depth + 1):
         step = F.struct("node", "next")
-        state = state.join(e, "node")
-        if d > 1:
-            state = state.where(~F.array_contains("path", step))
-        state = state.select("start", F.col("next").alias("node"), F.concat("path", F.array(step)).alias("path"))
+        state = state.join(e, "node").where(~(F.col("again") & F.array_contains("path", step)))
+        path = F.when(F.col("again"), F.array_sort(F.concat("path", F.array(step)))).otherwise(F.col("path"))
+        state = state.select("start", F.col("next").alias("node"), path.alias("path")).distinct()
         found.append(state.select("start", "node", F.lit(d).alias("depth")).distinct())
     return reduce(DataFrame.unionByName, found)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.types import package_of_fqn, type_names
+from graphloom.functions.types import BUILT_IN_TYPES, package_of_fqn, type_names
 from graphloom.operators import domains, graph, traversal
 from graphloom.session import table
 from graphloom.sources import files
@@ -17,26 +17,26 @@ ORACLE_SQL: dict[str, str] = {}
 
 _BLANKS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
 _NM = lambda c: rf"regexp_replace(regexp_replace(trim({c}, {_BLANKS}), '^`(.*)`$', '\1'), '\(\)$', '')"
-_REF = lambda c: rf"nullif(trim(regexp_replace(trim(split_part({c}, '<', 1), {_BLANKS}), '\?$', ''), {_BLANKS}), '')"
+REF = lambda c: rf"nullif(trim(regexp_replace(trim(split_part({c}, '<', 1), {_BLANKS}), '\?$', ''), {_BLANKS}), '')"
 _LABEL = "CASE WHEN kind IN ('class','enum','annotation') THEN 'Class' ELSE upper(kind[1]) || kind[2:] END"
-_NODES = f"""sym AS (SELECT fqn, arg_max(name, ins_seq) AS name, arg_max(kind, ins_seq) AS kind, arg_max(file_path, ins_seq) AS file_path,
+NODES = f"""sym AS (SELECT fqn, arg_max(name, ins_seq) AS name, arg_max(kind, ins_seq) AS kind, arg_max(file_path, ins_seq) AS file_path,
   arg_max(line_number, ins_seq) AS line_number, arg_max(declaring_type_fqn, ins_seq) AS dt, arg_max(package_name, ins_seq) AS package_name,
   arg_max(super_class, ins_seq) AS super_class, arg_max(interfaces, ins_seq) AS interfaces FROM symbols WHERE fqn IS NOT NULL GROUP BY fqn),
  cls AS (SELECT fqn, arg_max(visibility, write_seq) AS visibility FROM classes WHERE fqn IS NOT NULL GROUP BY fqn),
- nodes AS (SELECT {_LABEL} AS label, sym.fqn AS key, name, file_path, line_number, {_REF('dt')} AS declaring_type, package_name, visibility
+ nodes AS (SELECT {_LABEL} AS label, sym.fqn AS key, name, file_path, line_number, {REF('dt')} AS declaring_type, package_name, visibility
   FROM sym LEFT JOIN cls ON sym.fqn = cls.fqn WHERE kind IS NOT NULL)"""
 _OWNERS = "label IN ('Class','Interface','Object')"
 _TIERS = lambda tiers: " UNION ALL ".join(f"SELECT {c} AS ref, key AS dst, {i} AS rank FROM nodes WHERE label = '{lab}' AND {c} IS NOT NULL" for i, (lab, c) in enumerate(tiers))
 
 
-def _resolved(name: str, refs: str, tiers: list[tuple[str, str]]) -> str:
+def resolved_sql(name: str, refs: str, tiers: list[tuple[str, str]]) -> str:
     return f"""{name}_refs AS ({refs}), {name}_t AS ({_TIERS(tiers)}), {name}_b AS (SELECT ref, min(rank) AS rank FROM {name}_t GROUP BY ref),
  {name} AS (SELECT DISTINCT r.src, t.dst FROM {name}_refs r JOIN {name}_t t ON r.ref = t.ref JOIN {name}_b b ON t.ref = b.ref AND t.rank = b.rank)"""
 
 
-_EXTENDS = _resolved("extends_e", f"SELECT fqn AS src, {_REF('super_class')} AS ref FROM sym JOIN nodes n ON n.key = fqn WHERE {_OWNERS.replace('label', 'n.label')} AND super_class IS NOT NULL", [("Class", "key"), ("Class", "name"), ("Interface", "key"), ("Interface", "name")])
-_IMPLEMENTS = _resolved("implements_e", f"SELECT src, ref FROM (SELECT fqn AS src, {_REF('i')} AS ref FROM (SELECT fqn, unnest(interfaces) AS i FROM sym JOIN nodes n ON n.key = fqn WHERE {_OWNERS.replace('label', 'n.label')})) WHERE ref IS NOT NULL", [("Interface", "key"), ("Interface", "name")])
-_DECLARES = f"declares_e AS (SELECT m.declaring_type AS src, m.key AS dst FROM nodes m JOIN nodes o ON o.key = m.declaring_type AND o.{_OWNERS} WHERE m.label IN ('Function','Property'))"
+EXTENDS = resolved_sql("extends_e", f"SELECT fqn AS src, {REF('super_class')} AS ref FROM sym JOIN nodes n ON n.key = fqn WHERE {_OWNERS.replace('label', 'n.label')} AND super_class IS NOT NULL", [("Class", "key"), ("Class", "name"), ("Interface", "key"), ("Interface", "name")])
+IMPLEMENTS = resolved_sql("implements_e", f"SELECT src, ref FROM (SELECT fqn AS src, {REF('i')} AS ref FROM (SELECT fqn, unnest(interfaces) AS i FROM sym JOIN nodes n ON n.key = fqn WHERE {_OWNERS.replace('label', 'n.label')})) WHERE ref IS NOT NULL", [("Interface", "key"), ("Interface", "name")])
+DECLARES = f"declares_e AS (SELECT m.declaring_type AS src, m.key AS dst FROM nodes m JOIN nodes o ON o.key = m.declaring_type AND o.{_OWNERS} WHERE m.label IN ('Function','Property'))"
 _KEY = lambda side: f"CASE WHEN {_NM(side + '_function_name')} <> '' THEN CASE WHEN {_NM(side + '_class_name')} <> '' THEN {_NM(side + '_class_name')} || '.' || {_NM(side + '_function_name')} ELSE {_NM(side + '_function_name')} END END"
 _CALLS = f"calls_e AS (SELECT src, dst, count(*) AS calls FROM (SELECT DISTINCT call_id, {_KEY('caller')} AS src, {_KEY('callee')} AS dst FROM calls) WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src, dst)"
 
@@ -64,20 +64,20 @@ def _projects(spark: SparkSession, d: str) -> DataFrame:
 # ---- nodes, counts, search ----
 
 
-@query(f"WITH {_NODES} SELECT label, key, name, file_path, line_number, declaring_type, package_name, visibility FROM nodes")
+@query(f"WITH {NODES} SELECT label, key, name, file_path, line_number, declaring_type, package_name, visibility FROM nodes")
 def nodes_merged(spark: SparkSession, d: str) -> DataFrame:
     """All nodes of the graph, merged by key with per-property overlay."""
     return _nodes(spark, d)
 
 
-@query(f"WITH {_NODES} SELECT label, count(*) AS n FROM nodes GROUP BY label")
+@query(f"WITH {NODES} SELECT label, count(*) AS n FROM nodes GROUP BY label")
 def status_labels(spark: SparkSession, d: str) -> DataFrame:
     """Nodes by label."""
     return _nodes(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"WITH {_NODES}, {_EXTENDS}, {_IMPLEMENTS}, {_DECLARES}, {_CALLS} SELECT 'EXTENDS' AS rel_type, count(*) AS n FROM extends_e UNION ALL SELECT 'IMPLEMENTS', count(*) FROM implements_e UNION ALL SELECT 'DECLARES', count(*) FROM declares_e UNION ALL SELECT 'CALLS', count(*) FROM calls_e"
+    f"WITH {NODES}, {EXTENDS}, {IMPLEMENTS}, {DECLARES}, {_CALLS} SELECT 'EXTENDS' AS rel_type, count(*) AS n FROM extends_e UNION ALL SELECT 'IMPLEMENTS', count(*) FROM implements_e UNION ALL SELECT 'DECLARES', count(*) FROM declares_e UNION ALL SELECT 'CALLS', count(*) FROM calls_e"
 )
 def status_rels(spark: SparkSession, d: str) -> DataFrame:
     """Edges by type."""
@@ -99,7 +99,7 @@ def search_nodes(nodes: DataFrame, text: str, labels: list[str] | None = None, e
 
 
 @query(
-    f"WITH {_NODES} SELECT name, label, file_path, coalesce(line_number, 0) AS line_number, coalesce(visibility, 'public') AS visibility, key FROM nodes WHERE lower(name) LIKE '%handler%' AND label IN ('Class','Interface','Function','Property','Object') ORDER BY name, file_path, line_number, key LIMIT 20"
+    f"WITH {NODES} SELECT name, label, file_path, coalesce(line_number, 0) AS line_number, coalesce(visibility, 'public') AS visibility, key FROM nodes WHERE lower(name) LIKE '%handler%' AND label IN ('Class','Interface','Function','Property','Object') ORDER BY name, file_path, line_number, key LIMIT 20"
 )
 def search_nodes_partial(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 nodes with `handler` in their name (the limit is the feature)."""
@@ -107,7 +107,7 @@ def search_nodes_partial(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_NODES} SELECT name, label, file_path, coalesce(line_number, 0) AS line_number, coalesce(visibility, 'public') AS visibility, key FROM nodes WHERE regexp_full_match(name, '[A-Z]\\w*(Store|Registry)') AND label IN ('Class','Interface') ORDER BY name, file_path, line_number, key LIMIT 100"
+    f"WITH {NODES} SELECT name, label, file_path, coalesce(line_number, 0) AS line_number, coalesce(visibility, 'public') AS visibility, key FROM nodes WHERE regexp_full_match(name, '[A-Z]\\w*(Store|Registry)') AND label IN ('Class','Interface') ORDER BY name, file_path, line_number, key LIMIT 100"
 )
 def search_nodes_exact(spark: SparkSession, d: str) -> DataFrame:
     """Classes and interfaces whose whole name matches an expression, the first 100."""
@@ -125,13 +125,13 @@ def file_symbols(nodes: DataFrame, path: str, include_private: bool = True) -> D
 _FILE = "SELECT file_path, line_number, label, name, coalesce(visibility, 'public') AS visibility, key FROM nodes WHERE file_path LIKE '%Store.kt'"
 
 
-@query(f"WITH {_NODES} {_FILE}")
+@query(f"WITH {NODES} {_FILE}")
 def file_symbols_all(spark: SparkSession, d: str) -> DataFrame:
     """Symbols of all files that end with Store.kt."""
     return file_symbols(_nodes(spark, d), "Store.kt")
 
 
-@query(f"WITH {_NODES} {_FILE} AND (visibility IS NULL OR visibility IN ('public','protected','internal'))")
+@query(f"WITH {NODES} {_FILE} AND (visibility IS NULL OR visibility IN ('public','protected','internal'))")
 def file_symbols_public(spark: SparkSession, d: str) -> DataFrame:
     """The same without private ones."""
     return file_symbols(_nodes(spark, d), "Store.kt", include_private=False)
@@ -146,140 +146,38 @@ def validate_project(spark: SparkSession, d: str) -> DataFrame:
 # ---- edges ----
 
 
-@query(f"WITH {_NODES}, {_DECLARES} SELECT src, dst FROM declares_e")
+@query(f"WITH {_CALLS} SELECT src, dst, calls FROM calls_e")
+def call_names(spark: SparkSession, d: str) -> DataFrame:
+    """Who calls whom by the names in the calls alone, resolved or not, with the number of calls."""
+    return graph.call_edges(table(spark, d, "calls"))
+
+
+@query(f"WITH {NODES}, {DECLARES} SELECT src, dst FROM declares_e")
 def edges_declares(spark: SparkSession, d: str) -> DataFrame:
     """Types and their members."""
     return graph.declares(_nodes(spark, d))
 
 
-@query(f"WITH {_NODES}, {_EXTENDS} SELECT src, dst FROM extends_e")
+@query(f"WITH {NODES}, {EXTENDS} SELECT src, dst FROM extends_e")
 def edges_extends(spark: SparkSession, d: str) -> DataFrame:
     """Types and their superclasses."""
     return graph.extends(table(spark, d, "symbols"), _nodes(spark, d))
 
 
-@query(f"WITH {_NODES}, {_IMPLEMENTS} SELECT src, dst FROM implements_e")
+@query(f"WITH {NODES}, {IMPLEMENTS} SELECT src, dst FROM implements_e")
 def edges_implements(spark: SparkSession, d: str) -> DataFrame:
     """Types and the interfaces they implement."""
     return graph.implements(table(spark, d, "symbols"), _nodes(spark, d))
 
 
-@query(f"WITH {_CALLS} SELECT src, dst, calls FROM calls_e")
-def edges_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Calls between functions, with their number."""
-    return graph.call_edges(table(spark, d, "calls"))
-
-
-@query()
-def edges_uses(spark: SparkSession, d: str) -> DataFrame:
-    """Functions and the types of their parameters and receivers."""
-    return graph.uses(table(spark, d, "symbols"), _nodes(spark, d))
-
-
-# ---- callers, callees, neighbours, implementations, impact, paths ----
-
-
-def _named(edges: DataFrame, name: str, owner: str | None = None) -> DataFrame:
-    """Functions of the call graph by name, and by the end of their class's name if given."""
-    every = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    own = F.substring_index("node", ".", -1) == name
-    if owner:
-        own &= F.contains(F.col("node"), F.lit(".")) & F.expr("left(node, length(node) - length(substring_index(node, '.', -1)) - 1)").endswith(owner)
-    return every.where(own)
-
-
-def _calls_of(edges: DataFrame, name: str, depth: int, backwards: bool, owner: str | None = None) -> DataFrame:
-    e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backwards else edges.select("src", "dst")
-    t = traversal.trails(e, _named(edges, name, owner), depth).where("start <> node").select("node", "depth").distinct()
-    dotted = F.contains(F.col("node"), F.lit("."))
-    return t.select("depth", F.when(dotted, F.expr("left(node, length(node) - length(substring_index(node, '.', -1)) - 1)")).alias("class_name"), F.substring_index("node", ".", -1).alias("function_name"))
-
-
-def get_callers(edges: DataFrame, name: str, depth: int = 2, owner: str | None = None) -> DataFrame:
-    """(depth, class_name, function_name): functions that call `name` over 1..depth calls, once for every depth."""
-    return _calls_of(edges, name, depth, True, owner)
-
-
-def get_callees(edges: DataFrame, name: str, depth: int = 2, owner: str | None = None) -> DataFrame:
-    """(depth, class_name, function_name): functions that `name` calls over 1..depth calls."""
-    return _calls_of(edges, name, depth, False, owner)
-
-
-_SPLIT = r"CASE WHEN contains(node, '.') THEN regexp_replace(node, '\.[^.]*$', '') END AS class_name, regexp_extract(node, '[^.]*$') AS function_name"
-_START = "SELECT node FROM (SELECT src AS node FROM calls_e UNION SELECT dst FROM calls_e) WHERE regexp_extract(node, '[^.]*$') = '{0}'"
-
-
-def _trail_sql(name: str, a: str, b: str, depth: int) -> str:
-    one = f"SELECT s.node AS start, e.{b} AS node, 1 AS depth FROM ({_START.format(name)}) s JOIN calls_e e ON e.{a} = s.node"
-    two = f" UNION ALL SELECT s.node, g.{b}, 2 FROM ({_START.format(name)}) s JOIN calls_e e ON e.{a} = s.node JOIN calls_e g ON g.{a} = e.{b} WHERE NOT (g.src = e.src AND g.dst = e.dst)"
-    return f"WITH {_CALLS} SELECT DISTINCT depth, {_SPLIT} FROM ({one}{two if depth > 1 else ''}) WHERE start <> node"
-
-
-@query(_trail_sql("flushAll", "dst", "src", 1))
-def get_callers_d1(spark: SparkSession, d: str) -> DataFrame:
-    """Direct callers of flushAll."""
-    return get_callers(graph.call_edges(table(spark, d, "calls")), "flushAll", 1)
-
-
-@query(_trail_sql("flushAll", "dst", "src", 2))
-def get_callers_d2(spark: SparkSession, d: str) -> DataFrame:
-    """Callers of flushAll over two calls."""
-    return get_callers(graph.call_edges(table(spark, d, "calls")), "flushAll", 2)
-
-
-@query(_trail_sql("drainAll", "src", "dst", 1))
-def get_callees_d1(spark: SparkSession, d: str) -> DataFrame:
-    """Functions that drainAll calls."""
-    return get_callees(graph.call_edges(table(spark, d, "calls")), "drainAll", 1)
-
-
-@query(_trail_sql("drainAll", "src", "dst", 2))
-def get_callees_d2(spark: SparkSession, d: str) -> DataFrame:
-    """Functions that drainAll calls over two calls."""
-    return get_callees(graph.call_edges(table(spark, d, "calls")), "drainAll", 2)
-
-
-def neighbors(nodes: DataFrame, direct: DataFrame, through: DataFrame, incoming: bool) -> DataFrame:
-    """(node_name, name, type, file_path): what every type depends on, or what depends on it.
-
-    direct: EXTENDS and IMPLEMENTS edges; through: type -> type used by its functions. Of several
-    neighbours of one name the first counts, direct edges first, then by file and key. Targets are
-    classes or interfaces; neighbours without a file are external and left out.
-    """
-    typed = nodes.where(F.col("label").isin(graph.OWNER_LABELS)).select("key", "name", "label", "file_path")
-    src, dst = typed.select([F.col(c).alias(f"s_{c}") for c in typed.columns]), typed.where("label <> 'Object'").select([F.col(c).alias(f"t_{c}") for c in typed.columns])
-    edges = direct.select("src", "dst", F.lit(0).alias("prio")).unionByName(through.where("src <> dst").select("src", "dst", F.lit(1).alias("prio")))
-    e = edges.join(src, F.col("src") == F.col("s_key")).join(dst, F.col("dst") == F.col("t_key"))
-    me, other = ("t", "s") if incoming else ("s", "t")
-    rows = e.where(f"{other}_file_path is not null").select(F.col(f"{me}_name").alias("node_name"), F.struct("prio", F.col(f"{other}_file_path").alias("file_path"), F.col(f"{other}_key").alias("key"), F.col(f"{other}_label").alias("type")).alias("n"), F.col(f"{other}_name").alias("name"))
-    return rows.groupBy("node_name", "name").agg(F.min("n").alias("n")).select("node_name", "name", "n.type", "n.file_path")
-
-
-def _neighbor_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s, n = table(spark, d, "symbols"), _nodes(spark, d)
-    direct = graph.extends(s, n).unionByName(graph.implements(s, n))
-    used = graph.uses(s, n).select(F.col("src").alias("f"), F.col("dst"))
-    through = graph.declares(n).withColumnRenamed("dst", "f").join(used, "f").select("src", "dst").distinct()
-    return n, direct, through
-
-
-@query()
-def get_neighbors_out(spark: SparkSession, d: str) -> DataFrame:
-    """Outgoing neighbours of all types."""
-    return neighbors(*_neighbor_parts(spark, d), incoming=False)
-
-
-@query()
-def get_neighbors_in(spark: SparkSession, d: str) -> DataFrame:
-    """Incoming neighbours of all types."""
-    return neighbors(*_neighbor_parts(spark, d), incoming=True)
+# ---- implementations, impact ----
 
 
 def _classes_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes.where("label = 'Class'").select(F.col("key").alias("src")), "src", "left_semi")
 
 
-@query(f"WITH {_NODES}, {_IMPLEMENTS} SELECT e.dst AS interface_fqn, e.src AS class_fqn FROM implements_e e JOIN nodes n ON n.key = e.src AND n.label = 'Class'")
+@query(f"WITH {NODES}, {IMPLEMENTS} SELECT e.dst AS interface_fqn, e.src AS class_fqn FROM implements_e e JOIN nodes n ON n.key = e.src AND n.label = 'Class'")
 def get_implementations_direct(spark: SparkSession, d: str) -> DataFrame:
     """Classes that implement an interface, for every interface."""
     n = _nodes(spark, d)
@@ -287,7 +185,7 @@ def get_implementations_direct(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_NODES}, {_IMPLEMENTS}, {_EXTENDS}, ec AS (SELECT e.src, e.dst FROM extends_e e JOIN nodes a ON a.key = e.src AND a.label = 'Class' JOIN nodes b ON b.key = e.dst AND b.label = 'Class'),
+    f"""WITH RECURSIVE {NODES}, {IMPLEMENTS}, {EXTENDS}, ec AS (SELECT e.src, e.dst FROM extends_e e JOIN nodes a ON a.key = e.src AND a.label = 'Class' JOIN nodes b ON b.key = e.dst AND b.label = 'Class'),
  ic AS (SELECT e.src, e.dst FROM implements_e e JOIN nodes a ON a.key = e.src AND a.label = 'Class'),
  up AS (SELECT src, dst FROM ec UNION SELECT up.src, ec.dst FROM up JOIN ec ON up.dst = ec.src)
  SELECT DISTINCT ic.dst AS interface_fqn, up.src AS class_fqn FROM up JOIN ic ON ic.src = up.dst ANTI JOIN ic x ON x.src = up.src AND x.dst = ic.dst"""
@@ -304,7 +202,7 @@ def get_implementations_indirect(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_NODES}, {_EXTENDS}, ec AS (SELECT e.src, e.dst FROM extends_e e JOIN nodes a ON a.key = e.src AND a.label = 'Class'),
+    f"""WITH RECURSIVE {NODES}, {EXTENDS}, ec AS (SELECT e.src, e.dst FROM extends_e e JOIN nodes a ON a.key = e.src AND a.label = 'Class'),
  dn AS (SELECT dst AS start, src AS node, 1 AS depth FROM ec UNION SELECT dn.start, ec.src, dn.depth + 1 FROM dn JOIN ec ON ec.dst = dn.node WHERE dn.depth < 3)
  SELECT start AS class_fqn, node AS child_fqn, min(depth) AS depth FROM dn GROUP BY ALL"""
 )
@@ -316,42 +214,23 @@ def impact_children(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("start").alias("class_fqn"), F.col("node").alias("child_fqn"), "depth")
 
 
-@query(f"WITH {_CALLS}, t AS ({_trail_sql('flushAll', 'dst', 'src', 2).split('SELECT DISTINCT', 1)[1].split('FROM (', 1)[1].rsplit(') WHERE start', 1)[0]}) SELECT node AS caller, min(depth) AS depth FROM t WHERE node <> start GROUP BY node")
-def impact_callers(spark: SparkSession, d: str) -> DataFrame:
-    """Functions that a change of flushAll reaches over two calls, with the least depth."""
-    e = graph.call_edges(table(spark, d, "calls"))
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    found = traversal.least_depths(back, _named(e, "flushAll"), 2).where("start <> node")
-    return found.groupBy(F.col("node").alias("caller")).agg(F.min("depth").alias("depth"))
-
+# ---- names, modules, domains, files ----
 
-@query()
-def find_path_types(spark: SparkSession, d: str) -> DataFrame:
-    """A shortest path over all type edges between the first type with a subclass's subclass and that one."""
-    s, n = table(spark, d, "symbols"), _nodes(spark, d)
-    ext = graph.extends(s, n)
-    edges = ext.unionByName(graph.implements(s, n)).unionByName(graph.declares(n))
-    far = ext.alias("a").join(ext.alias("b"), F.col("a.dst") == F.col("b.src")).where("a.src <> b.dst")
-    ends = far.agg(F.min(F.struct(F.col("b.dst").alias("top"), F.col("a.src").alias("low"))).alias("e"))
-    sources = ends.select(F.col("e.top").alias("node")).where("node is not null")
-    targets = ends.select(F.col("e.low").alias("node"))
-    return traversal.shortest_path(edges, sources, targets, 5)
 
+_TYPE_NAMES = rf"[x FOR x IN regexp_extract_all(replace(t, '?', ''), '\b[A-Z][a-zA-Z0-9]*\b') IF x NOT IN ({', '.join(repr(x) for x in BUILT_IN_TYPES)})]"
 
-# ---- names, modules, domains, files ----
 
-
-@query()
+@query(f"SELECT type_name, count(*) AS n FROM (SELECT DISTINCT symbol_id, unnest({_TYPE_NAMES}) AS type_name FROM (SELECT symbol_id, unnest(param_types) AS t FROM symbols WHERE kind = 'function')) GROUP BY 1")
 def type_names_in_parameters(spark: SparkSession, d: str) -> DataFrame:
     """Type names in the parameter types of all functions, with their number of functions."""
     f = table(spark, d, "symbols").where("kind = 'function'").select("symbol_id", F.explode("param_types").alias("t")).distinct()
     return f.select("symbol_id", F.explode(type_names(F.col("t"))).alias("type_name")).distinct().groupBy("type_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PKG = r"regexp_replace(regexp_replace(fqn, '\.[^.]+$', ''), '(\.[A-Z][^.]*)+$', '')"
+PKG = r"regexp_replace(regexp_replace(fqn, '\.[^.]+$', ''), '(\.[A-Z][^.]*)+$', '')"
 
 
-@query(f"SELECT {_PKG} AS package, count(*) AS n FROM (SELECT DISTINCT fqn FROM symbols WHERE fqn IS NOT NULL) GROUP BY 1")
+@query(f"SELECT {PKG} AS package, count(*) AS n FROM (SELECT DISTINCT fqn FROM symbols WHERE fqn IS NOT NULL) GROUP BY 1")
 def package_from_fqn(spark: SparkSession, d: str) -> DataFrame:
     """Names by the package their fqn implies."""
     return table(spark, d, "symbols").where("fqn is not null").select("fqn").distinct().groupBy(package_of_fqn(F.col("fqn")).alias("package")).agg(F.count(F.lit(1)).alias("n"))
@@ -387,7 +266,16 @@ def _file_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "project_path", "file_path").join(opts, "project_path", "left")
 
 
-@query()
+_LANGUAGE = "CASE regexp_extract(lower(file_path), '\\.([a-z]+)$', 1) " + " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in files.LANGUAGE_OF.items()) + " END"
+_DIRECTORIES = "|".join(x.replace(".", r"\.") for x in files.EXCLUDED_DIRECTORIES)
+
+
+@query(
+    f"""SELECT doc_id, {_LANGUAGE} AS language, NOT regexp_matches(file_path, '(^|/)({_DIRECTORIES})/') AND NOT regexp_matches(base, '{files.GENERATED_PATTERN}')
+  AND (coalesce(include_declaration_files, false) OR NOT regexp_matches(base, '{files.DECLARATION_PATTERN}')) AND base NOT IN ({', '.join(repr(x) for x in files.EXCLUDED_CONFIG_FILES)}) AND NOT regexp_matches(base, '{files.CONFIG_PATTERN}')
+  AND NOT coalesce(list_bool_or([regexp_matches(file_path, x) FOR x IN additional_excluded_patterns]), false) AND ({_LANGUAGE}) IS NOT NULL AS parsed, regexp_matches(file_path, '{files.TEST_PATTERN}') AS is_test
+ FROM (SELECT *, regexp_extract(file_path, '[^/]*$') AS base FROM documents) LEFT JOIN file_filter_options USING (project_path)"""
+)
 def file_filter(spark: SparkSession, d: str) -> DataFrame:
     """Every document's language, and whether the indexer would parse it under its project's options."""
     keep = files.should_parse(F.col("file_path"), F.col("include_declaration_files"), excluded=F.col("additional_excluded_patterns"))
@@ -402,7 +290,14 @@ def languages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(files.language(F.col("file_path")).alias("language")).agg(F.count(F.lit(1)).alias("n")).where("language is not null")
 
 
-@query()
+_IMPORTS = r"""list_distinct(regexp_extract_all(text, '(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)(?:\s+as\s+\w+)?;?\s*$', 1) || regexp_extract_all(text, '(?:\bfrom|\bimport|\brequire)\s*\(?\s*["'']([^"'']+)["'']', 1))"""
+_DECLARED = r"""regexp_extract_all(text, '(?m)^\s*(?:(?:export|default|declare|public|private|protected|internal|abstract|final|open|sealed|data|static|inner|annotation|value|enum)\s+)*(?:class|interface|object|enum|record)\s+([A-Z]\w*)', 1)"""
+
+
+@query(
+    rf"""SELECT doc_id, nullif(regexp_extract(text, '(?m)^\s*package\s+([\w.]+)', 1), '') AS package, len({_IMPORTS})::INTEGER AS n_imports,
+ array_to_string([x FOR x, i IN {_DECLARED} IF list_position({_DECLARED}, x) = i], ',') AS types FROM documents WHERE ({_LANGUAGE}) IS NOT NULL"""
+)
 def source_declarations(spark: SparkSession, d: str) -> DataFrame:
     """Package, imports and declared types of every source file."""
     t = F.col("text")
@@ -413,10 +308,10 @@ def _packages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbols").select(F.col("package_name").alias("package")).where("package is not null").distinct()
 
 
-_DOMAIN = lambda p: f"CASE WHEN lower(string_split({p}, '.')[3]) IN ('domain','application','infrastructure','presentation','api','impl','internal') THEN lower(string_split({p}, '.')[4]) ELSE lower(string_split({p}, '.')[3]) END"
+domain_sql = lambda p: f"CASE WHEN lower(string_split({p}, '.')[3]) IN ('domain','application','infrastructure','presentation','api','impl','internal') THEN lower(string_split({p}, '.')[4]) ELSE lower(string_split({p}, '.')[3]) END"
 
 
-@query(f"SELECT upper(dom[1]) || dom[2:] AS name, count(*) AS n_packages FROM (SELECT {_DOMAIN('package_name')} AS dom FROM (SELECT DISTINCT package_name FROM symbols WHERE package_name IS NOT NULL)) WHERE dom <> '' GROUP BY dom")
+@query(f"SELECT upper(dom[1]) || dom[2:] AS name, count(*) AS n_packages FROM (SELECT {domain_sql('package_name')} AS dom FROM (SELECT DISTINCT package_name FROM symbols WHERE package_name IS NOT NULL)) WHERE dom <> '' GROUP BY dom")
 def domain_infer(spark: SparkSession, d: str) -> DataFrame:
     """Domains inferred from packages."""
     return domains.infer_domains(_packages(spark, d))
@@ -431,16 +326,6 @@ def domain_assign(spark: SparkSession, d: str) -> DataFrame:
     return domains.assign_packages(_packages(spark, d), _CONFIGURED)
 
 
-@query(
-    f"WITH {_NODES}, {_EXTENDS}, {_IMPLEMENTS}, e AS (SELECT * FROM extends_e UNION ALL SELECT * FROM implements_e), p AS (SELECT {_PKG.replace('fqn', 'src')} AS a, {_PKG.replace('fqn', 'dst')} AS b FROM e), q AS (SELECT {_DOMAIN('a')} AS from_domain, {_DOMAIN('b')} AS to_domain FROM p) SELECT from_domain, to_domain, count(*) AS weight FROM q WHERE from_domain <> to_domain AND from_domain <> '' AND to_domain <> '' GROUP BY ALL"
-)
-def domain_deps(spark: SparkSession, d: str) -> DataFrame:
-    """Inheritance between domains, with its number of edges."""
-    s, n = table(spark, d, "symbols"), _nodes(spark, d)
-    e = graph.extends(s, n).unionByName(graph.implements(s, n))
-    return domains.domain_dependencies(e, package_of_fqn(F.col("src")), package_of_fqn(F.col("dst")))
-
-
 # ---- runs ----
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import corpus_core, graph_queries, resolve_queries, stream_queries
+from graphloom.plans import corpus_core, graph_queries, resolve_queries, stream_queries, tool_queries
 
-MODULES = [corpus_core, graph_queries, resolve_queries, stream_queries]
+MODULES = [corpus_core, graph_queries, resolve_queries, stream_queries, tool_queries]
 
 
 def queries() -> dict:

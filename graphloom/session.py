@@ -31,9 +31,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; on a local master, where it is unset, a new local one.
+
+    On a cluster a folder of one machine would lose rows, so there the setting is required.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -52,9 +58,15 @@ class Scratch:
     """Tables written to the shared folder, which cut the lineage of iterative plans.
 
     A written table survives the loss of executors. `drop` removes the tables that
-    are no longer read; the rest goes when the driver ends.
+    are no longer read; as a context manager, leaving it removes all; the rest goes when the driver ends.
     """
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _delete(self.spark, self.root)
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/graphloom-{uuid.uuid4().hex[:12]}"

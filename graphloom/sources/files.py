@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 # Directories, file names and patterns of files that are not indexed.
 EXCLUDED_DIRECTORIES = (
-    "node_modules .git dist build out target .idea .vscode .next .nuxt .angular .turbo .vercel .output .svelte-kit .astro DerivedData Pods .xcbuild "
-    "xcuserdata .gradle .m2 www public coverage __coverage__ .cache .tmp .temp .nx .pnpm __pycache__ .venv venv .tox vendor/bundle target/debug target/release"
-).split()
+    "node_modules", ".git", "dist", "build", "out", "target", ".idea", ".vscode", ".next", ".nuxt", ".angular", ".turbo", ".vercel", ".output",
+    ".svelte-kit", ".astro", "DerivedData", "Pods", ".xcbuild", "xcuserdata", ".gradle", ".m2", "www", "public", "coverage", "__coverage__",
+    ".cache", ".tmp", ".temp", ".nx", ".pnpm", "__pycache__", ".venv", "venv", ".tox", "vendor/bundle", "target/debug", "target/release",
+)
+# The names that end in .config and a script's ending are left out here: CONFIG_PATTERN covers them all.
 EXCLUDED_CONFIG_FILES = (
-    ".eslintrc.js .eslintrc.cjs .eslintrc.mjs .prettierrc.js .prettierrc.cjs .babelrc.js tsconfig.json jsconfig.json package.json package-lock.json "
-    "yarn.lock pnpm-lock.yaml bun.lockb angular.json karma.conf.js protractor.conf.js eas.json build.gradle build.gradle.kts settings.gradle "
-    "settings.gradle.kts gradle.properties Podfile Podfile.lock"
-).split()
+    ".eslintrc.js", ".eslintrc.cjs", ".eslintrc.mjs", ".prettierrc.js", ".prettierrc.cjs", ".babelrc.js", "tsconfig.json", "jsconfig.json",
+    "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "angular.json", "karma.conf.js", "protractor.conf.js",
+    "eas.json", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts", "gradle.properties", "Podfile", "Podfile.lock",
+)
 CONFIG_PATTERN = r"\.(config|setup)\.(ts|js|mjs|cjs)$"
 DECLARATION_PATTERN = r"\.d\.[mc]?ts$"
 GENERATED_PATTERN = r"\.min\.(js|css)$|\.(bundle|chunk)\.js$|\.generated\.(ts|js)$|\.g\.dart$|-lock\.json$"
@@ -45,15 +47,31 @@ def is_test_file(path: Column) -> Column:
     return path.rlike(TEST_PATTERN)
 
 
-def should_parse(path: Column, include_declarations: Column | bool = False, include_tests: bool = True, include_config: bool = False, excluded: Column | None = None) -> Column:
+def should_scan(path: Column, additional_directories: tuple[str, ...] = ()) -> Column:
+    """Whether a directory is entered: by its own name, and by where a `public` directory or one below `.angular` stands."""
+    p = F.regexp_replace(path, r"\\", "/")
+    name = base_name(p)
+    return ~name.isin(*EXCLUDED_DIRECTORIES, *additional_directories) & ~((name == "public") & p.rlike("/(ios|android)/")) & ~F.contains(p, F.lit("/.angular/"))
+
+
+def scanned(path: Column, root: Column, additional_directories: tuple[str, ...] = ()) -> Column:
+    """Whether a scan that begins at root reaches a file: every directory between them is entered."""
+    above = F.filter(with_ancestors(F.regexp_replace(path, "/[^/]*$", "")), lambda d: F.length(d) > F.length(root))
+    return F.startswith(path, F.concat(root, F.lit("/"))) & F.forall(above, lambda d: should_scan(d, additional_directories))
+
+
+def should_parse(
+    path: Column, include_declarations: Column | bool = False, include_tests: bool = True, include_config: bool = False,
+    excluded: Column | None = None, additional_directories: tuple[str, ...] = (),
+) -> Column:
     """Whether a file is indexed. excluded: array of regular expressions searched in the path; NULL paths give NULL."""
     p, name = F.regexp_replace(path, r"\\", "/"), base_name(F.regexp_replace(path, r"\\", "/"))
-    directories = "|".join(d.replace(".", r"\.") for d in EXCLUDED_DIRECTORIES)
+    directories = "|".join(d.replace(".", r"\.") for d in (*EXCLUDED_DIRECTORIES, *additional_directories))
     keep = ~p.rlike(f"(^|/)({directories})/") & ~name.rlike(GENERATED_PATTERN)
     wanted = F.lit(include_declarations) if isinstance(include_declarations, bool) else F.coalesce(include_declarations, F.lit(False))
     keep &= wanted | ~name.rlike(DECLARATION_PATTERN)
     if not include_config:
-        keep &= ~name.isin(EXCLUDED_CONFIG_FILES) & ~name.rlike(CONFIG_PATTERN)
+        keep &= ~name.isin(*EXCLUDED_CONFIG_FILES) & ~name.rlike(CONFIG_PATTERN)
     if not include_tests:
         keep &= ~is_test_file(p)
     if excluded is not None:

@@ -11,7 +11,9 @@ from pyspark.sql.types import StructType
 
 
 class GraphStore:
-    """nodes partitioned by label and edges by rel_type below a folder; a pointer file names the current snapshot.
+    """nodes partitioned by label and sorted by name, and edges by rel_type and source, below a folder; a pointer file names the current snapshot.
+
+    A question on some labels and types reads only their partitions, and of those mostly the row groups that hold its names.
 
     A snapshot is written beside the old one and becomes current by one small write at the end,
     so readers see the old graph or the new one.
@@ -24,7 +26,7 @@ class GraphStore:
         """Replaces the graph; nodes need label, edges rel_type. Returns the snapshot's name."""
         name = uuid.uuid4().hex[:12]
         nodes.repartitionByRange("label", "name").sortWithinPartitions("label", "name").write.partitionBy("label").parquet(f"{self.root}/{name}/nodes")
-        edges.write.partitionBy("rel_type").parquet(f"{self.root}/{name}/edges")
+        edges.repartitionByRange("rel_type", "src").sortWithinPartitions("rel_type", "src").write.partitionBy("rel_type").parquet(f"{self.root}/{name}/edges")
         current = json.dumps([name, nodes.schema.json(), edges.schema.json()])
         self.spark.range(1).select(F.lit(current).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/_CURRENT")
         return name

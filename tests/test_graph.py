@@ -7,14 +7,10 @@ from graphloom.functions.output import compact
 from graphloom.functions.text import function_name, reference_text
 from graphloom.functions.types import is_type_compatible, overload_score, package_of_fqn, type_names
 from graphloom.operators import domains, traversal
-from graphloom.plans.graph_queries import get_callees, get_callers
 from graphloom.sources import files
 from graphloom.sources.store import GraphStore
 
-CALLS = [("Ctl.handle", "Repo.save"), ("run", "Ctl.handle"), ("Repo.save", "Repo.save"), ("Repo.save", "run"), ("run", "Repo.save")]
-
-
-def _edges(spark, pairs=CALLS):
+def _edges(spark, pairs):
     return spark.createDataFrame([(a, b, 1) for a, b in pairs], "src string, dst string, calls long")
 
 
@@ -22,21 +18,6 @@ def _one(spark, column, *values):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(column(F.col("v"))).collect()]
 
 
-def test_callers_use_no_edge_twice(spark):
-    e = _edges(spark)
-    at = lambda d: rows(get_callers(e, "save", d), "depth", "function_name")
-    assert at(1) == [(1, "handle"), (1, "run")]
-    assert at(2) == [(1, "handle"), (1, "run"), (2, "handle"), (2, "run")]
-    assert at(5) == sorted([(d, "handle") for d in range(1, 5)] + [(d, "run") for d in range(1, 6)])
-    assert rows(get_callers(e, "save", 1, owner="po"), "function_name") == [("handle",), ("run",)]
-    assert rows(get_callers(e, "save", 1, owner="Ctl")) == []
-    assert rows(get_callees(e, "handle", 2), "depth", "class_name", "function_name") == [(1, "Repo", "save"), (2, "Repo", "save"), (2, None, "run")]
-
-
-def test_two_functions_calling_each_other(spark):
-    assert rows(get_callers(_edges(spark, [("f", "g"), ("g", "f")]), "g", 3), "depth", "function_name") == [(1, "f")]
-
-
 def _trails(edges, start, depth):
     out, stack = set(), [(start, ())]
     while stack:
@@ -86,6 +67,11 @@ def test_overloads(spark):
     df = spark.createDataFrame([(["Int"], ["Int"]), (["Int"], ["Long"]), (["Int", "X"], ["Int"]), ([], ["Int"]), (["Unknown"], ["Int"]), (["A"], ["B"])], "a array<string>, p array<string>")
     assert [r[0] for r in df.select(overload_score(F.col("a"), F.col("p"))).collect()] == [150, 125, 49, 50, 100, 90]
     assert _one(spark, lambda c: is_type_compatible(c, F.lit("CharSequence")), "String", "Int", None) == [True, False, False]
+    fits = lambda p, *v: _one(spark, lambda c: is_type_compatible(c, F.lit(p)), *v)
+    assert fits("Long", "Int", "Double", "Long?", "Nothing", "never", "any", "Char") == [True, False, True, True, True, True, False]
+    assert fits("ReadonlyArray", "Array", "Array<X>", "List") == [False, False, False]  # capitals: no assignment of TypeScript is asked
+    assert fits("undefined", "void", "null", "number") == [True, False, False] and fits("Iterable", "Collection", "List") == [True, False]
+    assert fits("Comparable", "String") == [False] and fits("Any", "X") == [True] and fits("Object", "X") == [False]
 
 
 def test_files_and_modules(spark):
@@ -97,6 +83,31 @@ def test_files_and_modules(spark):
     assert _one(spark, files.imports, "import a.b.C\nimport static x.y.*;\nimport { Q } from './q'\nconst z = require('zz')\n") == [["a.b.C", "x.y.*", "./q", "zz"]]
 
 
+def test_scanned_directories(spark):
+    enter = lambda *v: _one(spark, files.should_scan, *v)
+    assert enter("/p/src", "/p/node_modules", "/p/.angular", "/p/ios/App/public", "/p/.angular/x", "/p/building", None) == [True, False, False, False, False, True, None]
+    reach = lambda *v: _one(spark, lambda c: files.scanned(c, F.lit("/build/p"), ("gen",)), *v)
+    assert reach("/build/p/a/b.kt", "/build/p/b.kt", "/build/p/dist/b.kt", "/build/p/gen/b.kt", "/q/b.kt") == [True, True, False, False, False]
+
+
+def test_domain_plan(spark):
+    p = spark.createDataFrame([("com.x.order",), ("com.x.order.api",), ("com.x.payment",), ("com.x.user",), ("com.x.core",), ("a",), (None,)], "package string")
+    plan = domains.analyze_domains(p, [("Core", ["com.x.user"])])
+    assert rows(plan, "package", "domain") == sorted([("com.x.order", "Order"), ("com.x.order.api", "Order"), ("com.x.payment", "Payment"), ("com.x.user", "Core")])
+    calls = spark.createDataFrame([("com.x.order", "com.x.payment", 1), ("com.x.order.api", "com.x.user", 1), ("com.x.order", "com.x.order.api", 5), ("com.x.order", "gone", 1)], "a string, b string, n long")
+    assert rows(domains.domain_weights(calls, plan), "from_domain", "to_domain", "weight") == [("Order", "Core", 1), ("Order", "Payment", 1)]
+    langs = spark.createDataFrame([("java", 3), ("kotlin", 1), ("kotlin", 4), ("java", 2), (None, 0)], "language string, seq long")
+    assert [r.language for r in domains.primary_language(langs).collect()] == ["kotlin"]
+
+
+def test_domain_configuration(spark, tmp_path):
+    assert domains.load_domains(spark, str(tmp_path)) == []
+    (tmp_path / "domains.json").write_text('{"domains": [{"name": "A", "patterns": ["com.a.**"]}, {"name": null}]}')
+    assert domains.load_domains(spark, str(tmp_path)) == [("A", ["com.a.**"])]
+    (tmp_path / "domains.json").write_text("no json")
+    assert domains.load_domains(spark, str(tmp_path)) == []
+
+
 def test_domains(spark):
     assert _one(spark, domains.domain_of_package, "com.example.payment.x", "com.example.domain.Order", "com.example", None) == ["payment", "order", None, None]
     p = spark.createDataFrame([("com.a.b",), ("com.a.b.c",), ("x",)], "package string")
@@ -112,6 +123,7 @@ def test_store_and_output(spark, tmp_path):
     store.clear("/p")
     assert rows(store.nodes(), "key") == [("b",), ("k",)] and rows(store.edges(), "rel_type") == [("CONTAINS",)]
     assert compact(store.nodes().orderBy("key"), "NODES", ["name", "file_path"]) == "NODES (2):\nB | /q/B.kt\nk | "
+    assert compact(store.nodes().orderBy("key"), "NODES", ["name"], limit=1) == "NODES (2):\nB"
     store.clear()
     assert compact(store.nodes(), "NODES", ["name"]) == "NODES: No results found."
 
