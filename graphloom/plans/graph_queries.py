@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.types import BUILT_IN_TYPES, package_of_fqn, type_names
 from graphloom.operators import domains, graph, traversal
 from graphloom.session import table
-from graphloom.sources import files
+from graphloom.sources import files, modules
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -304,6 +304,44 @@ def source_declarations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(files.language(F.col("file_path")).isNotNull()).select("doc_id", files.declared_package(t).alias("package"), F.size(files.imports(t)).alias("n_imports"), F.array_join(files.declared_types(t), ",").alias("types"))
 
 
+def _scripts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(files.language(F.col("file_path")).isin("typescript", "javascript")).select("file_path", "text")
+
+
+_SCRIPTS = f"(SELECT file_path, text FROM documents WHERE ({_LANGUAGE}) IN ('typescript', 'javascript'))"
+_QUOTE = "''"
+
+
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", _QUOTE)
+
+
+@query(f"SELECT DISTINCT file_path, unnest(regexp_extract_all(text, '{_sql(modules._DECLARED)}', 1)) AS name FROM {_SCRIPTS}")
+def export_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names that every script declares and so offers to others; none of the given files re-exports any."""
+    return modules.export_index(_scripts(spark, d)).where("source is null").select("file_path", "name")
+
+
+_WHOLE_SQL = [f"regexp_extract_all(text, '{_sql(modules._WHOLE)}', {g})" for g in (1, 2, 3)]
+_NAMED_SQL = [f"regexp_extract_all(text, '{_sql(modules._NAMED)}', {g})" for g in (1, 2)]
+_IMPORTED = rf"""w AS (SELECT file_path, coalesce(a, '') || coalesce(b, '') AS name, module FROM (SELECT file_path, unnest({_WHOLE_SQL[0]}) AS a, unnest({_WHOLE_SQL[1]}) AS b, unnest({_WHOLE_SQL[2]}) AS module FROM {_SCRIPTS})),
+ m AS (SELECT file_path, trim(split_part(x, ' as ', 1)) AS name, module FROM (SELECT file_path, module, unnest(string_split(listed, ',')) AS x FROM (SELECT file_path, unnest({_NAMED_SQL[0]}) AS listed, unnest({_NAMED_SQL[1]}) AS module FROM {_SCRIPTS})) WHERE trim(x) <> ''),
+ i AS (SELECT DISTINCT * FROM (SELECT * FROM w UNION ALL SELECT * FROM m))"""
+_ENDS = ", ".join(f"'{x}'" for x in ("", *modules.ENDINGS, *(f"/index{e}" for e in modules.ENDINGS)))
+
+
+@query(
+    rf"""WITH {_IMPORTED}, b AS (SELECT DISTINCT file_path, module, regexp_replace(file_path, '/[^/]*$', '') || '/' || regexp_replace(module, '^\./', '') AS base FROM i WHERE module LIKE './%'),
+ c AS (SELECT b.*, [{_ENDS}][k] AS ending, k FROM b, range(1, 14) r(k)), t AS (SELECT c.file_path, module, arg_min(s.file_path, k) AS target FROM c JOIN {_SCRIPTS} s ON s.file_path = base || ending GROUP BY 1, 2)
+ SELECT i.*, target FROM i LEFT JOIN t ON t.file_path = i.file_path AND t.module = i.module"""
+)
+def module_imports(spark: SparkSession, d: str) -> DataFrame:
+    """The names every script imports, with their module and, where it is among the files, its file."""
+    s = _scripts(spark, d)
+    i = modules.imports_of(s).select("file_path", "name", "module")
+    return i.join(modules.resolve_modules(i, s), ["file_path", "module"], "left").distinct()
+
+
 def _packages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbols").select(F.col("package_name").alias("package")).where("package is not null").distinct()
 
