@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import Scratch
+from graphloom.session import Scratch, keyed
 
 LEVELS = 4  # levels of one projection; deeper nodes go on in the next
 
@@ -92,11 +92,17 @@ def flatten_records(
     and the index to every child, flatten joins the arrays of a level, and one inline per target
     table emits rows. One projection covers LEVELS levels; records that go deeper, few as a rule,
     carry their open nodes into the same projection again, so the depth is not bounded. No step
-    but the choice of the newest delivery shuffles.
+    but the choice among several deliveries of one record shuffles.
     """
     attributes = attributes or {}
     scratch = Scratch(records.sparkSession)
-    newest = records.groupBy("record_id").agg(F.max(F.struct("version", "body")).alias("b")).select("record_id", F.col("b.body").alias("body"))
+    # Only records that came more than once have to meet; the others stay where they were read.
+    records = records.select("record_id", "version", "body")
+    known = records.where("record_id is not null")
+    repeated = scratch.keep(known.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("record_id"))
+    met = keyed(known, repeated, ["record_id"]).unionByName(records.where("record_id is null"))
+    met = met.groupBy("record_id").agg(F.max(F.struct("version", "body")).alias("b")).select("record_id", F.col("b.body").alias("body"))
+    newest = keyed(known, repeated, ["record_id"], "left_anti").select("record_id", "body").unionByName(met)
     schema = ",".join(f"`{n}`:string" for n in dict.fromkeys([*fields, *(f for f, _ in attributes.values())]))
     # As the only element of an array a body in quotes loses them, and one cut off or followed by more is no JSON.
     j = _fields_of(F.concat(F.lit("["), F.col("body"), F.lit("]")), schema)
