@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +80,7 @@ def _keyword_table() -> tuple[np.ndarray, np.ndarray]:
 
 
 _KEYWORD_KEYS, _KEYWORD_CODES = _keyword_table()
-#: Characters of texts that are masked together.
+#: Characters of texts that are masked together, and about as many of the tokens whose sets are built together.
 _TOGETHER = 1 << 18
 
 
@@ -164,27 +164,60 @@ def head_comment(text: str) -> str:
     return "\n".join(lines)
 
 
+def _eights(tokens: np.ndarray) -> np.ndarray:
+    """For every token the number that it and the seven bytes behind it make."""
+    b = np.concatenate([tokens, np.zeros(8, np.uint8)])
+    return np.ndarray(len(tokens), ">u8", b, strides=(1,)).astype(np.uint64)
+
+
 def _windows(tokens: np.ndarray) -> np.ndarray:
     """The runs of SHINGLE tokens, each as the number its bytes make; of a shorter file the one run of all tokens."""
-    k, t = min(SHINGLE, max(len(tokens), 1)), tokens.astype(np.uint64)
-    out = np.zeros(max(len(t) - k + 1, 0), np.uint64)
-    for i in range(k):
-        out = out << np.uint64(8) | t[i : i + len(out)]
-    return out
+    k = min(SHINGLE, max(len(tokens), 1))
+    return _eights(tokens)[: max(len(tokens) - k + 1, 0)] >> np.uint64(64 - 8 * k)
+
+
+def _first_ones(ordered: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    return np.concatenate([np.ones(min(len(ordered), 1), np.bool_), ordered[1:] != ordered[:-1]])
 
 
 def shingles_of(tokens: np.ndarray) -> np.ndarray:
     """Distinct shingles, in order."""
-    return np.unique(_windows(tokens))
+    out = np.sort(_windows(tokens))
+    return out[_first_ones(out)]
+
 
+def shingle_sets(files: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingles_of every file, one behind the other, with the places where files begin and the end of all; repetition of each file.
 
-def repetition_of(tokens: np.ndarray) -> float:
-    """Share of ten-token windows that occurred before in the file."""
-    if len(tokens) < 10:
-        return 0.0
-    five = _windows(tokens)
-    wide = mix(five[:-5]) + five[5:]
-    return 1 - len(np.unique(wide)) / len(wide)
+    files: tokens. Repetition is the share of ten-token windows that occurred before in the file.
+    """
+    length = np.array([len(x) for x in files], np.int64)
+    ends = np.cumsum(length)
+    begins = ends - length
+    eights = _eights(np.concatenate([*files, np.zeros(0, np.uint8)]))
+    five = eights >> np.uint64(64 - 8 * SHINGLE)
+    short = np.flatnonzero((length > 0) & (length < SHINGLE))
+    five[begins[short]] = eights[begins[short]] >> (64 - 8 * length[short]).astype(np.uint64)
+    wide = mix(five)
+    wide[:-SHINGLE] += five[SHINGLE:]
+
+    def distinct(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first ones of equal values among the first `count` of each file, which are put in order, and their numbers up to each file."""
+        for a, b in zip(begins.tolist(), (begins + count).tolist(), strict=True):
+            values[a:b].sort()
+        first, inside = _first_ones(values), np.zeros(len(values) + 1, np.int8)
+        np.add.at(inside, begins, count > 0)
+        np.subtract.at(inside, begins + count, count > 0)
+        first[begins[count > 0]] = True
+        first &= np.cumsum(inside[:-1], dtype=np.int8) > 0
+        return first, np.concatenate([[0], np.cumsum(first)])[np.concatenate([begins, [len(values)]])]
+
+    windows = np.maximum(length - 2 * SHINGLE + 1, 0)
+    _, places = distinct(wide, windows)
+    repetition = np.where(windows > 0, 1 - np.diff(places) / np.maximum(windows, 1), 0.0)
+    first, places = distinct(five, np.where(length < SHINGLE, np.minimum(length, 1), length - SHINGLE + 1))
+    return five[first], places, repetition
 
 
 def is_minified(text: str) -> bool:
@@ -202,15 +235,22 @@ VALUES = 256
 #: Values whose bits differ, of sets with a similarity of 0.8, are 38.4 (standard deviation 5.7); with more than so many sets are not compared.
 APART = 64
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64)).astype(np.uint32)
-_FACTORS, _MASKS = (_SEEDS[:VALUES] | np.uint32(1))[:, None], _SEEDS[VALUES:, None]
+_FACTORS, _MASKS = _SEEDS[:VALUES] | np.uint32(1), _SEEDS[VALUES:]
+_ROOM = np.empty((256, VALUES), np.uint32)
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
     """The smallest values of VALUES hash functions over a set."""
-    x = (mix(shingles) >> np.uint64(32)).astype(np.uint32)
+    return _minhash(mix(shingles))
+
+
+def _minhash(mixed: np.ndarray) -> np.ndarray:
+    x = (mixed >> np.uint64(32)).astype(np.uint32)[:, None]
     low = np.full(VALUES, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(x), 4096):
-        low = np.minimum(low, ((x[None, at : at + 4096] * _FACTORS) ^ _MASKS).min(axis=1))
+    for at in range(0, len(x), len(_ROOM)):
+        part = x[at : at + len(_ROOM)]
+        room = np.multiply(part, _FACTORS, out=_ROOM[: len(part)])
+        np.minimum(low, np.bitwise_xor(room, _MASKS, out=room).min(axis=0), out=low)
     return low
 
 
@@ -231,29 +271,68 @@ def signatures(low: np.ndarray) -> np.ndarray:
     return np.packbits(planes.astype(np.bool_), axis=1)
 
 
+#: Classes of shingles whose numbers in a set are told as odd or even.
+PARITIES = 512
+
+
+def parities(mixed: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For sets of mixed shingles one behind the other, which classes of shingles are odd in number: rows of bytes.
+
+    A class in which two sets differ here holds a shingle that they do not share, so a pair whose rows differ in more bits
+    than a similar pair can have such shingles is not similar: no similar pair is lost, whatever the sets are.
+    """
+    n = len(places) - 1
+    of = np.repeat(np.arange(n), np.diff(places)) * PARITIES + (mixed & np.uint64(PARITIES - 1)).astype(np.int64)
+    return np.packbits((np.bincount(of, minlength=n * PARITIES) & 1).astype(np.bool_).reshape(n, PARITIES), axis=1)
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    """Bits set in each row of eight words."""
+    n = np.bitwise_count(words).view(np.uint64)[:, 0]  # a byte for each word
+    low = np.uint64(0x00FF00FF00FF00FF)
+    return (((n & low) + (n >> np.uint64(8) & low)) * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int64)
+
+
 _SKETCH = "doc_id long, project string, same long, n_shingles int, repetition double, literal_share double, minified boolean, stated boolean, banner boolean, bands array<long>, signature binary, tokens binary"
 
 
+def _parts(tokens: Sequence[np.ndarray]) -> Iterator[slice]:
+    """Neighbouring files whose sets and parities are built together."""
+    at, size = 0, 0
+    for i, x in enumerate(tokens):
+        size += len(x) + PARITIES
+        if size > _TOGETHER:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+    if at < len(tokens):
+        yield slice(at, len(tokens))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows, low = [], []
-        texts = batch.column(2).to_pylist()
-        for key, project, text, ending, (tokens, literal) in zip(*(batch.column(i).to_pylist() for i in (0, 1)), texts, batch.column(3).to_pylist(), masked_tokens(texts), strict=True):
-            shingles, repetition, share = shingles_of(tokens), repetition_of(tokens), literal / max(1, len(text))
-            if (repetition >= MECHANICAL or share >= LITERAL) and fault(text, ending) == "written in another language":
-                repetition = share = 0.0  # another language's statements and comments mislead these tokens
-            head = head_comment(text)
-            same = int(np.array(xxhash.xxh64_intdigest(shingles.tobytes()), np.uint64).view(np.int64))
-            low.append(minhash(shingles))
-            stated, banner = (bool(head and p.search(head)) for p in (GENERATED_STATEMENT, VENDOR_BANNER))
-            rows.append((key, project, same, len(shingles), repetition, share, is_minified(text), stated, banner, zlib.compress(tokens.tobytes(), 6)))
-        low = np.array(low)
-        *columns, packed = zip(*rows, strict=True)
-        arrays = [*columns, band_keys(low).view(np.int64).tolist(), [x.tobytes() for x in signatures(low)], packed]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(arrays, kinds, strict=True)], [x.split()[0] for x in _SKETCH.split(", ")])
+        keys, projects, texts, endings = (batch.column(i).to_pylist() for i in range(4))
+        tokens, literals = zip(*masked_tokens(texts), strict=True)
+        for part in _parts(tokens):
+            shingles, places, repetitions = shingle_sets(tokens[part])
+            mixed = mix(shingles)
+            rows, low = [], []
+            for i, (key, project, text, ending, masked, literal, repetition) in enumerate(zip(keys[part], projects[part], texts[part], endings[part], tokens[part], literals[part], repetitions.tolist(), strict=True)):
+                share = literal / max(1, len(text))
+                if (repetition >= MECHANICAL or share >= LITERAL) and fault(text, ending) == "written in another language":
+                    repetition = share = 0.0  # another language's statements and comments mislead these tokens
+                head, own = head_comment(text), slice(places[i], places[i + 1])
+                same = int(np.array(xxhash.xxh64_intdigest(shingles[own].tobytes()), np.uint64).view(np.int64))
+                low.append(_minhash(mixed[own]))
+                stated, banner = (bool(head and p.search(head)) for p in (GENERATED_STATEMENT, VENDOR_BANNER))
+                rows.append((key, project, same, int(places[i + 1] - places[i]), repetition, share, is_minified(text), stated, banner, zlib.compress(masked.tobytes(), 6)))
+            low = np.array(low)
+            *columns, packed = zip(*rows, strict=True)
+            signature = np.concatenate([signatures(low), parities(mixed, places)], axis=1)
+            arrays = [*columns, band_keys(low).view(np.int64).tolist(), [x.tobytes() for x in signature], packed]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(arrays, kinds, strict=True)], [x.split()[0] for x in _SKETCH.split(", ")])
 
 
 #: A band's crowd is compared in blocks of so many classes, so that two blocks fit into a task's memory.
@@ -301,16 +380,18 @@ class _Sets:
         return out
 
 
-def links_within(groups: np.ndarray, reps: np.ndarray, parts: np.ndarray, sizes: np.ndarray, planes: np.ndarray, set_of: Callable[[int], np.ndarray], batch: int = 200_000) -> list[tuple[int, int]]:
+def links_within(groups: np.ndarray, reps: np.ndarray, parts: np.ndarray, sizes: np.ndarray, planes: np.ndarray, set_of: Callable[[int], np.ndarray], batch: int = 200_000, odd: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (rep, rep) between similar sets of one group, enough to connect all that similar pairs connect.
 
     Rows of equal group stand together; parts: equal numbers within a group are connected before.
-    planes: signatures, rows of uint64; set_of(row) gives a row's set. Every pair whose sizes allow the similarity and
-    whose signatures are near is compared exactly, unless its ends are connected by then, so a
-    group of sets that are all alike gives one link less than it has sets.
+    planes: signatures, rows of uint64; odd: parities, rows of uint64, if there are any; set_of(row) gives a row's set. Every
+    pair whose sizes and parities allow the similarity and whose signatures are near is compared exactly, unless its ends are
+    connected by then, so a group of sets that are all alike gives one link less than it has sets.
     """
     order = np.lexsort((sizes, groups))
     groups, reps, parts, sizes, planes = groups[order], reps[order], parts[order], sizes[order].astype(np.int64), planes[order]
+    odd = None if odd is None else odd[order]
+    unshared = sizes * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9  # summed for a similar pair, no fewer than its shingles that are not shared
     half = planes.shape[1] // 2
     n, links, sets = len(reps), [], _Sets(lambda row: set_of(order[row]))
     # In a group rows ascend by size: those that may be similar to a row stand right behind it.
@@ -337,10 +418,12 @@ def links_within(groups: np.ndarray, reps: np.ndarray, parts: np.ndarray, sizes:
 
     k, active, held, size = 1, np.flatnonzero(reach >= 1), [], 0
     while len(active):
-        b = active + k
-        differ = planes[active] ^ planes[b]
-        near = (np.bitwise_count(differ[:, :half] | differ[:, half:]).sum(axis=1, dtype=np.int64) <= APART) & (label[active] != label[b])
-        held.append((active[near], b[near]))
+        a = active[label[active] != label[active + k]]
+        if odd is not None:
+            a = a[_bits(odd.take(a, axis=0) ^ odd.take(a + k, axis=0)) <= unshared[a] + unshared[a + k]]
+        differ = planes.take(a, axis=0) ^ planes.take(a + k, axis=0)
+        a = a[np.bitwise_count(differ[:, :half] | differ[:, half:]).sum(axis=1, dtype=np.int64) <= APART]
+        held.append((a, a + k))
         size += len(held[-1][0])
         if size >= batch or k in (1, 8, 64):  # early rounds connect what is alike, which spares the later ones
             compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -357,9 +440,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         tokens = t.column("tokens")
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint64).reshape(-1, VALUES // 32)
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint64).reshape(-1, VALUES // 32 + PARITIES // 64)
         set_of = lambda row: shingles_of(np.frombuffer(zlib.decompress(tokens[int(row)].as_py()), np.uint8))
-        links = links_within(group, *(t.column(c).to_numpy() for c in ("rep", "part", "n_shingles")), sig, set_of)
+        links = links_within(group, *(t.column(c).to_numpy() for c in ("rep", "part", "n_shingles")), sig[:, : VALUES // 32], set_of, odd=sig[:, VALUES // 32 :])
         pairs = np.array(sorted({(min(p), max(p)) for p in links}), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
 

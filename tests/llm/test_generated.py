@@ -142,3 +142,60 @@ def test_masked_tokens(monkeypatch):
         assert [n for _, n in one("f(12.5, \"ab\")", "", "7", "a", "\u00e9 8")] == [8, 0, 1, 0, 1]
         assert one("", "a b", "") == [([], 0), one("x", "y")[0][:1] and (one("x y")[0][0], 0), ([], 0)]
         assert len(generated.shingles_of(next(generated.masked_tokens(["a b"]))[0])) == 1
+
+
+def test_sets_of_many_files_are_those_of_each():
+    r = random.Random(4)
+    texts = ["", "a", "+ -", "a b c d", "a b c d e", "+" * 9, "+" * 10, "+-*" * 40, ""] + [" ".join(r.choice("+-*a1(") for _ in range(k)) for k in range(1, 60)] + ["", ""]
+    tokens = [x for x, _ in generated.masked_tokens(texts)]
+    shingles, places, repetition = generated.shingle_sets(tokens)
+    for i, x in enumerate(tokens):
+        runs = [tuple(x[k : k + 10].tolist()) for k in range(len(x) - 9)]
+        fives = {tuple(x[k : k + 5].tolist()) for k in range(max(1, len(x) - 4))} if len(x) else set()
+        own = shingles[places[i] : places[i + 1]]
+        assert own.tolist() == generated.shingles_of(x).tolist() and len(own) == len(fives)
+        assert repetition[i] == (1 - len(set(runs)) / len(runs) if runs else 0)
+    assert all(len(x) == 0 or x[-1] == 0 for x in generated.shingle_sets([])[:2])
+
+
+def test_parities_spare_exact_comparisons_and_lose_no_link():
+    r = np.random.default_rng(6)
+    shared = r.integers(1 << 40, size=140).astype(np.uint64)
+    own = lambda n: r.integers(1 << 40, size=n).astype(np.uint64)
+    # A similarity of 0.7 passes the signatures; the last sets are similar.
+    sets = [np.unique(np.concatenate([shared, own(30)])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([sets[0], own(k)])) for k in (3, 20, 35)] + [np.unique(own(3000))]
+    sets += [np.unique(np.concatenate([sets[-1], own(600)]))]
+    sig = generated.signatures(np.array([generated.minhash(x) for x in sets])).view(np.uint64)
+    places, sizes, read = np.cumsum([0, *map(len, sets)]), np.array([len(x) for x in sets]), []
+    odd = generated.parities(generated.mix(np.concatenate(sets)), places).view(np.uint64)
+    for i in range(len(sets)):
+        apart = np.bitwise_count(odd ^ odd[i]).sum(axis=1)
+        assert all(apart[j] <= len(np.setxor1d(sets[i], sets[j])) for j in range(len(sets)))
+        assert generated._bits(odd ^ odd[i]).tolist() == apart.tolist()
+
+    def found(**kw):
+        read.clear()
+        n = len(sets)
+        links = generated.links_within(np.zeros(n, np.int64), np.arange(n), np.arange(n), sizes, sig, lambda i: read.append(int(i)) or sets[i], **kw)
+        return sorted((min(p), max(p)) for p in links)
+
+    every, few = found(), (found(odd=odd), sorted(read))
+    assert every == few[0] and {i for p in every for i in p} == {0, 60, 61, 62, 63, 64}
+    assert len(few[1]) < 20
+
+
+def test_task_links_read_few_sets(monkeypatch):
+    """Files of one grammar that are not similar are told apart without their tokens."""
+    r = random.Random(7)
+    base = [r.choice("+-*()[]{}<>=!&|^~?:,;.@%") for _ in range(170)]
+    texts = [" ".join(base + [r.choice("+-*()[]{}<>=!&|^~?:,;.@%") for _ in range(34)]) for _ in range(40)]
+    texts.append(texts[0] + " + - * ( )")
+    batch = generated.pa.RecordBatch.from_pylist([{"doc_id": i, "project": "/p", "text": t, "ending": "js"} for i, t in enumerate(texts)])
+    (made,) = generated._sketch(iter([batch]))
+    n, zeros = len(texts), np.zeros(len(texts), np.int64)
+    columns = {"band": zeros, "i": zeros, "j": zeros, "rep": np.arange(n), "part": np.arange(n)} | {c: made.column(c) for c in ("n_shingles", "signature", "tokens")}
+    read, unpack = [], generated.zlib.decompress
+    monkeypatch.setattr(generated.zlib, "decompress", lambda x: read.append(1) or unpack(x))
+    (links,) = generated._links(iter([generated.pa.RecordBatch.from_pydict(columns)]))
+    assert links.to_pydict() == {"x": [0], "y": [40]} and len(read) < n / 2
